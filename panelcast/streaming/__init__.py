@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The work this library covers is batch only: yearly files are loaded by glob,
+there is no event-time window, no watermark and no late data. The package keeps
+the place for it and registers nothing.
+"""
