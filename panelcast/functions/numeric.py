@@ -27,7 +27,8 @@ def fill(value: Column, default) -> Column:
 
 def band_low(value: Column, margin: float) -> Column:
     """Lower edge of the error band, truncated towards zero and never negative."""
-    return F.greatest((value * F.lit(1.0 - margin)).cast("long"), F.lit(0).cast("long"))
+    edge = (value * F.lit(1.0 - margin)).cast("long")
+    return F.when(edge < 0, F.lit(0).cast("long")).otherwise(edge)
 
 
 def band_high(value: Column, margin: float) -> Column:
