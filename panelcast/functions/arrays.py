@@ -28,17 +28,10 @@ def count_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + v.isNotNull().cast("long"))
 
 
-def mean_of(values: Column) -> Column:
-    return F.try_divide(sum_of(values), count_of(values).cast("double"))
-
-
-def sample_std(values: Column) -> Column:
-    """Sample standard deviation; null for fewer than two values."""
-    mean = mean_of(values)
-    n = count_of(values).cast("double")
-    squares = F.aggregate(
-        F.transform(values, lambda v: (v - mean) * (v - mean)),
-        F.lit(0.0),
-        lambda acc, v: acc + F.coalesce(v, F.lit(0.0)),
-    )
-    return F.when(n > 1, F.sqrt(squares / (n - 1.0)))
+def quantile(ascending: Column, q: float) -> Column:
+    """Linearly interpolated quantile of a sorted array; null when it is empty."""
+    place = (F.size(ascending) - 1) * F.lit(q)
+    below = F.floor(place).cast("int")
+    low = F.get(ascending, below).cast("double")
+    high = F.coalesce(F.get(ascending, below + 1).cast("double"), low)
+    return low + (high - low) * (place - below)

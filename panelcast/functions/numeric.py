@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 # Added to a denominator so that a zero base gives a large number, not an error.
 EPSILON = 1e-6
 
+# Digits beyond which a sum of doubles is taken for noise before it is rounded.
+NOISE_DIGITS = 9
+
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    """Banker's rounding (0.5 -> 0, 1.5 -> 2), as array libraries round."""
-    return F.bround(value, digits)
+    """Banker's rounding (0.5 -> 0, 1.5 -> 2), as array libraries round.
+
+    The last bits of a distributed sum depend on the order of its parts. They
+    are rounded away first, so that a tie is a tie on every run.
+    """
+    return F.bround(F.round(value, NOISE_DIGITS), digits)
 
 
 def not_negative(value: Column) -> Column:

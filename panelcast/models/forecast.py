@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast import AREA, KEYS, TARGET, TIME
 from panelcast.functions import arrays
 from panelcast.functions.numeric import half_even, not_negative
-from panelcast.models.ridge import RidgeModel
+from panelcast.models.ridge import SCALE_GUARD, RidgeModel
 from panelcast.models.trees import TreeModel
 from panelcast.operators.extended import EPOCH_YEAR, add_all_features, zero_nulls
 from panelcast.operators.features import (
@@ -20,7 +21,7 @@ from panelcast.operators.features import (
     WINDOWS,
     CalendarRules,
     add_base_features,
-    calendar_features,
+    area_features,
 )
 from panelcast.operators.panel import series_list, tail
 from panelcast.session import durable
@@ -30,57 +31,84 @@ HORIZON = 12
 HISTORY_ROWS = 24
 
 
-def histories(panel: DataFrame, rows: int = HISTORY_ROWS, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
+# The longest look back of the base features: the lag of twelve.
+LOOK_BACK = 12
+
+def histories(panel: DataFrame, rows: int = LOOK_BACK, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
     """One row per series: its last values in time order, its last month, its usual area."""
-    cells = F.array_sort(F.collect_list(F.struct(time, F.col(target).cast("double").alias(target))))
+    cells = F.sort_array(F.collect_list(F.struct(time, F.col(target).cast("double").alias(target))))
     gathered = panel.groupBy(*keys).agg(cells.alias("_cells"), F.max(time).alias("last_month"))
     values = F.transform(arrays.last(F.col("_cells"), rows), lambda c: c[target])
     result = gathered.select(*keys, "last_month", values.alias("history"))
     return result.join(series_list(panel, keys), list(keys)) if AREA in panel.columns else result
 
 
-def fold_forecast(
-    series: DataFrame, step: Callable[[Column, Column], Column], horizon: int = HORIZON, keys=KEYS, time=TIME
-) -> DataFrame:
-    """Forecast every series inside its own row.
+def _whole_number(value: Column) -> Column:
+    return half_even(F.coalesce(value, F.lit(0.0)), 0).cast("long").alias("forecast")
 
-    ``step(history, month)`` is the prediction as an expression over the array
-    of past values. The array is folded over the horizon, so all months come out
-    of one pass with no shuffle and no growing lineage.
-    """
-    steps = F.sequence(F.lit(1), F.lit(horizon))
 
-    def extend(values: Column, i: Column) -> Column:
-        return F.concat(values, F.array(step(values, F.add_months(F.col("last_month"), i))))
-
-    extended = series.withColumn("_extended", F.aggregate(steps, F.col("history"), extend))
-    new = F.slice("_extended", F.size("history") + 1, F.lit(horizon))
-    rows = extended.select(*keys, "last_month", F.posexplode(new).alias("_i", "value"))
-    return rows.select(
+def forecast_naive(panel: DataFrame, horizon: int = HORIZON, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
+    """Seasonal naive recursion. A forecast repeats the value twelve months before it, so
+    month ``i`` is the history's value at the same place in its last year."""
+    series = histories(panel.select(*keys, time, target), LOOK_BACK, keys, time, target)
+    steps = series.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    place = (F.col("_i") - 1) % LOOK_BACK - LOOK_BACK
+    rows = steps.select(
         *keys,
-        F.add_months("last_month", F.col("_i") + 1).alias(time),
-        "value",
-        half_even(F.coalesce(F.col("value"), F.lit(0.0)), 0).cast("long").alias("forecast"),
+        F.add_months("last_month", F.col("_i")).alias(time),
+        not_negative(F.try_element_at("history", place)).alias("value"),
     )
-
-
-def forecast_naive(panel: DataFrame, horizon: int = HORIZON, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
-    series = histories(panel.select(*keys, time, target), HISTORY_ROWS, keys, time, target)
-    return fold_forecast(series, lambda values, month: not_negative(arrays.back(values, 12)), horizon, keys, time)
-
-
-def ridge_step(model: RidgeModel, rules: CalendarRules) -> Callable[[Column, Column], Column]:
-    """The ridge prediction with its features taken from the history array."""
-
-    def step(values: Column, month: Column) -> Column:
-        columns = {f"lag_{k}": arrays.back(values, k) for k in LAGS}
-        columns |= {f"rolling_mean_{w}": arrays.mean_of(arrays.last(values, w)) for w in WINDOWS}
-        columns["rolling_std_3"] = arrays.sample_std(arrays.last(values, 3))
-        columns |= calendar_features(month, rules)
-        columns["area_flag"] = F.coalesce(F.col(AREA) == rules.flag_area, F.lit(False)).cast("int")
-        return model.forecast(columns)
-
-    return step
+    return rows.select("*", _whole_number(F.col("value")))
+
+
+def _window_mean(values: np.ndarray) -> np.ndarray:
+    """Row means of the values that are there (nan where there is none)."""
+    present = ~np.isnan(values)
+    n = present.sum(axis=1)
+    return np.divide(np.where(present, values, 0.0).sum(axis=1), n, out=np.full(len(values), np.nan), where=n > 0)
+
+
+def _window_std(values: np.ndarray) -> np.ndarray:
+    squares = (values - _window_mean(values)[:, None]) ** 2
+    n = (~np.isnan(values)).sum(axis=1)
+    return np.sqrt(np.divide(np.nansum(squares, axis=1), n - 1, out=np.full(len(values), np.nan), where=n > 1))
+
+
+def _ridge_recursion(model: RidgeModel, rules: CalendarRules, horizon: int):
+    """Forecast the series of an Arrow batch together, one column of values per month."""
+    means, stds = np.array(model.means), np.array(model.stds) + SCALE_GUARD
+    beta = np.array(model.beta)
+
+    def features(recent: np.ndarray, month_no: np.ndarray, area_flag: np.ndarray) -> dict[str, np.ndarray]:
+        angle = 2.0 * rules.pi * month_no / 12.0
+        return {
+            **{f"lag_{k}": recent[:, -k] for k in LAGS},
+            **{f"rolling_mean_{w}": _window_mean(recent[:, -w:]) for w in WINDOWS},
+            "rolling_std_3": _window_std(recent[:, -3:]),
+            "month_of_year": month_no,
+            "quarter": (month_no + 2) // 3,
+            "is_recess": np.isin(month_no, rules.recess_months),
+            "is_flag_year": np.zeros(len(month_no)),
+            "month_sin": np.sin(angle),
+            "month_cos": np.cos(angle),
+            "area_flag": area_flag,
+        }
+
+    def run(batches):
+        for batch in batches:
+            frame = batch.to_pandas()
+            values = np.full((len(frame), LOOK_BACK + horizon), np.nan)
+            for row, past in enumerate(frame.pop("history")):
+                values[row, LOOK_BACK - len(past) : LOOK_BACK] = past
+            month_no, area_flag = frame.pop("month_no").to_numpy(), frame.pop("area_flag").to_numpy()
+            for i in range(horizon):
+                known = features(values[:, i : i + LOOK_BACK], (month_no + i) % 12 + 1, area_flag)
+                design = np.column_stack([known[name] for name in model.features]).astype(float)
+                values[:, LOOK_BACK + i] = np.maximum((design - means) / stds @ beta[1:] + beta[0], 0.0)
+            frame["values"] = list(values[:, LOOK_BACK:])
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return run
 
 
 def forecast_ridge(
@@ -92,9 +120,25 @@ def forecast_ridge(
     time=TIME,
     target=TARGET,
 ) -> DataFrame:
-    """Ridge recursion; the year flag is off, future years are ordinary ones."""
-    series = histories(panel, HISTORY_ROWS, keys, time, target)
-    return fold_forecast(series, ridge_step(model, replace(rules, flag_years=())), horizon, keys, time)
+    """Ridge recursion inside each series' own row: one pass, no shuffle per month.
+
+    The features of a series need its last twelve values only. As one SQL
+    expression the recursion outgrows code generation, so batches of series are
+    carried through the horizon as arrays. The year flag is off, future years
+    are ordinary ones. A forecast without enough history is null.
+    """
+    series = histories(panel, LOOK_BACK, keys, time, target)
+    rows = series.select(
+        *keys, "last_month", "history", F.month("last_month").alias("month_no"), area_features(rules)["area_flag"].alias("area_flag")
+    )
+    names = {k: dict(rows.dtypes)[k] for k in keys}
+    schema = ", ".join([*[f"{k} {t}" for k, t in names.items()], "last_month date", "values array<double>"])
+    filled = rows.mapInArrow(_ridge_recursion(model, rules, horizon), schema)
+    unfolded = filled.select(*keys, "last_month", F.posexplode("values").alias("_i", "_value"))
+    value = F.when(~F.isnan("_value"), F.col("_value"))
+    return unfolded.select(
+        *keys, F.add_months("last_month", F.col("_i") + 1).alias(time), value.alias("value"), _whole_number(value)
+    )
 
 
 def forecast_trees(

@@ -12,6 +12,7 @@ from panelcast.functions import dates
 from panelcast.functions.numeric import band_high, band_low
 from panelcast.operators.ordering import totals_before
 from panelcast.operators.split import in_years
+from panelcast.session import durable
 
 # Error margin of the band, month names.
 ERROR_MARGIN = 0.15
@@ -147,7 +148,7 @@ def cube_split(cube: DataFrame, keys=KEYS) -> DataFrame:
     """
     outer = keys[0]
     segments = cube.filter(F.col(outer) != ALL).select(outer).distinct().withColumn("one", F.lit(1).cast("long"))
-    before = totals_before(segments, [], [outer], ["one"])
+    before = totals_before(durable(segments), [], [outer], ["one"])
     half = segments.agg(F.floor(F.count(F.lit(1)) / 2).alias("half")).scalar()
     buckets = before.select(outer, F.when(F.col("before_one") < half, F.lit(1)).otherwise(F.lit(2)).alias("bucket"))
     top = cube.filter(F.col(outer) == ALL).select(outer).distinct().withColumn("bucket", F.lit(1))
@@ -163,10 +164,10 @@ def cube_documents(cube: DataFrame, keys=KEYS) -> DataFrame:
     outer, inner = keys
     values = F.struct("actual", "forecast", "lo", "hi")
     by_year = cube.groupBy(*keys, "year").agg(
-        F.array_sort(F.collect_list(F.struct("month_no", "month_name", values.alias("cell")))).alias("months")
+        F.sort_array(F.collect_list(F.struct("month_no", "month_name", values.alias("cell")))).alias("months")
     )
     by_member = by_year.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("year").cast("string").alias("year"), F.col("months")))).alias("years")
+        F.sort_array(F.collect_list(F.struct(F.col("year").cast("string").alias("year"), F.col("months")))).alias("years")
     )
     nested = F.map_from_entries(
         F.transform(

@@ -92,10 +92,10 @@ def quantile_features(past: SeriesPast, windows=WINDOWS) -> dict[str, Column]:
     """Interpolated quartiles over past rows, and their spread (0 when there is no past)."""
     columns = {}
     for w in windows:
-        values = past.percentiles(w, QUANTILES)
-        for i, q in enumerate(QUANTILES):
-            columns[f"rolling_q{int(q * 100)}_{w}"] = values[i]
-        columns[f"rolling_iqr_{w}"] = fill(values[2] - values[0], 0.0)
+        values = past.sorted_values(w, max(windows))
+        low, middle, high = (arrays.quantile(values, q) for q in QUANTILES)
+        columns |= dict(zip((f"rolling_q{int(q * 100)}_{w}" for q in QUANTILES), (low, middle, high)))
+        columns[f"rolling_iqr_{w}"] = fill(high - low, 0.0)
     return columns
 
 
@@ -138,7 +138,7 @@ def add_local_level_slope(
     row updates level and slope.
     """
     row = F.struct(time, *[c for c in df.columns if c not in (*keys, time)])
-    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     values = F.transform("_rows", lambda r: r[target].cast("double"))
     first, second = F.get("_y", F.lit(0)), F.get("_y", F.lit(1))
 
@@ -256,21 +256,22 @@ def carried_means(df: DataFrame, keys=KEYS, time=TIME, target=TARGET) -> DataFra
     In row order a segment's running mean goes through its series one after
     the other, each in time order. Everything a row sees of earlier series is
     the same for all rows of its own series, so it is worked out on one short
-    row per series and joined once. These rows are written to the checkpoint
-    folder: six branches read them, and none goes back to the panel.
+    row per series and joined once. The series' own totals are written to the
+    checkpoint folder, as several branches read them and none should go back to
+    the panel; so is the result, which keeps the plan over the panel short.
     """
     outer, inner = keys
-    recent = F.array_sort(F.collect_list(F.struct(time, target)))
+    recent = F.sort_array(F.collect_list(F.struct(time, target)))
     series = df.groupBy(outer, inner).agg(
         F.sum(target).alias("sum"),
         F.count(target).alias("n"),
         F.transform(arrays.last(recent, CROSS_WINDOW), lambda r: r[target]).alias("tail"),
     )
     series = durable(series)
-    by_outer = totals_before(series, [outer], [inner], ["sum", "n"], tail="tail", tail_rows=CROSS_WINDOW)
+    by_outer = totals_before(series, [outer], [inner], ["sum", "n"], "tail", CROSS_WINDOW)
     by_inner = totals_before(series, [inner], [outer], ["sum", "n"])
     lengths = F.sequence(F.lit(0), F.lit(CROSS_WINDOW))
-    return by_outer.select(
+    carried = by_outer.select(
         outer,
         inner,
         F.col("before_sum").alias("_outer_sum"),
@@ -284,6 +285,7 @@ def carried_means(df: DataFrame, keys=KEYS, time=TIME, target=TARGET) -> DataFra
         ),
         [outer, inner],
     )
+    return durable(carried)
 
 
 def _mean(total: Column, count: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelcast import AREA, KEYS, TARGET, TIME
+from panelcast.functions import arrays
 
 # Lags, window lengths, court recess months, flagged years, flagged area.
 LAGS = (1, 2, 3, 6, 12)
@@ -45,6 +46,7 @@ class SeriesPast:
     def __init__(self, keys: tuple[str, ...] = KEYS, time: str = TIME, target: str = TARGET):
         self.keys, self.time, self.target = keys, time, target
         self.measures: dict[str, Column] = {}
+        self.derived: dict[str, Column] = {}
 
     def _order(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(self.time)
@@ -72,9 +74,15 @@ class SeriesPast:
         """Sample deviation of ``rows`` past rows, as it stood ``skip`` rows ago; null below two values."""
         return self._measure(f"std_{rows}_{skip}", F.stddev_samp(self.target).over(self._past(rows, skip)))
 
-    def percentiles(self, rows: int, quantiles: tuple[float, ...]) -> Column:
-        """Interpolated percentiles as an array."""
-        return self._measure(f"pct_{rows}", F.percentile(self.target, list(quantiles)).over(self._past(rows)))
+    def sorted_values(self, rows: int, longest: int) -> Column:
+        """The past values of a window in ascending order, as an array.
+
+        All windows are cut from one list of the longest. Interpolating in such
+        a list is some ten times faster than a percentile aggregate per frame.
+        """
+        recent = self._measure(f"last_{longest}", F.collect_list(self.target).over(self._past(longest)))
+        self.derived.setdefault(f"_sorted_{rows}", F.sort_array(arrays.last(recent, rows)))
+        return F.col(f"_sorted_{rows}")
 
     def rows(self, rows: int) -> Column:
         return self._measure(f"rows_{rows}", F.count(F.lit(1)).over(self._past(rows)))
@@ -101,7 +109,10 @@ class SeriesPast:
         return self._measure(f"mean_same_{period}", F.avg(self.target).over(frame))
 
     def apply(self, df: DataFrame, features: dict[str, Column]) -> DataFrame:
-        return df.withColumns(self.measures).withColumns(features).drop(*self.measures)
+        measured = df.withColumns(self.measures)
+        if self.derived:
+            measured = measured.withColumns(self.derived)
+        return measured.withColumns(features).drop(*self.measures, *self.derived)
 
 
 def lag_features(past: SeriesPast, lags=LAGS) -> dict[str, Column]:

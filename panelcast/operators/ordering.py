@@ -18,7 +18,7 @@ RANGES = 256
 
 
 def with_range(series: DataFrame, order: list[str], ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``, the number of the range a row falls into.
+    """Add ``_range``, the number of the range of ``order`` a row falls into.
 
     The borders are the rows with the smallest hashes: an even spread over the
     order that comes out the same whenever it is computed again, as after the
@@ -29,7 +29,7 @@ def with_range(series: DataFrame, order: list[str], ranges: int = RANGES) -> Dat
         series.select(place.alias("place"))
         .orderBy(F.xxhash64("place"), "place")
         .limit(ranges)
-        .agg(F.array_sort(F.collect_list("place")).alias("borders"))
+        .agg(F.sort_array(F.collect_list("place")).alias("borders"))
         .scalar()
     )
     at_or_before = F.filter("_borders", lambda border: border <= place)
@@ -47,10 +47,10 @@ def totals_before(
 ) -> DataFrame:
     """Per series, sums and the last values over all series before it in its outer segment.
 
-    ``series`` has one row per (outer, inner). The result has these keys, a
+    ``series`` has one row per (outer, inner) and is read several times: make it
+    ``durable`` when it takes more than a scan to get. The result has these keys, a
     ``before_<name>`` for every sum (0 at the start), and ``before_<tail>``: the
     last ``tail_rows`` elements of the concatenated arrays of the earlier rows.
-    ``series`` is read several times; make it ``durable`` when it is costly.
     """
     needed = series.select(*outer, *inner, *sums, *([tail] if tail else []))
     placed = with_range(needed, [*outer, *inner], ranges)

@@ -58,7 +58,7 @@ def monthly_counts(
 
 def observed_months(panel: DataFrame, time: str = TIME) -> Column:
     """Sorted array of the months present, as a scalar subquery (one short row)."""
-    return panel.agg(F.array_sort(F.collect_set(time)).alias("months")).scalar()
+    return panel.agg(F.sort_array(F.collect_set(time)).alias("months")).scalar()
 
 
 def calendar_months(panel: DataFrame, time: str = TIME) -> Column:

@@ -712,18 +712,17 @@ def gram_matrix(spark, sf):
 
 
 def _fitted(spark, sf):
-    table = stages.durable(stages.base_table(spark, sf))
-    return ridge.fit_ridge(stages.train_rows(table)), table
+    return ridge.fit_ridge(stages.durable(stages.train_rows(stages.base_table(spark, sf))))
 
 
 @query("ridge_fit")
 def ridge_fit(spark, sf):
-    return show(_fitted(spark, sf)[0].table(spark))
+    return show(_fitted(spark, sf).table(spark))
 
 
 @query("ridge_importance")
 def ridge_importance(spark, sf):
-    return _fitted(spark, sf)[0].importance(spark)
+    return _fitted(spark, sf).importance(spark)
 
 
 _ALPHAS = ", ".join(f"({round(i * blend.GRID_STEP, 2)}e0, {q.num(i * blend.GRID_STEP)}, {q.num(1.0 - i * blend.GRID_STEP)})" for i in range(blend.GRID_STEPS + 1))

@@ -26,7 +26,7 @@ def rnd(expression: str, digits: int = 6) -> str:
 
 
 def even(expression: str, digits: int) -> str:
-    return f"(round_even(CAST({expression} AS DOUBLE), {digits}) + 0e0)"
+    return f"(round_even(round(CAST({expression} AS DOUBLE), 9), {digits}) + 0e0)"
 
 
 MONTH = "strftime(month, '%Y-%m') AS month"
