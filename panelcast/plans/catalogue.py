@@ -611,10 +611,7 @@ def _filled(name: str) -> str:
         FROM f JOIN holt USING (district, unit, month)""",
 )
 def features_all(spark, sf):
-    table = extended.add_all_features(
-        stages.dense_panel(spark, sf), rules=ORDERS.rules, epoch_year=ORDERS.epoch_year
-    )
-    return show(table)
+    return show(stages.full_features(stages.dense_panel(spark, sf), fill_nulls=True))
 
 
 # --- split ----------------------------------------------------------------
@@ -1016,9 +1013,7 @@ def forecast_totals(spark, sf):
 def _tree_rows(spark, sf, extended_features: bool):
     dense = stages.durable(stages.dense_panel(spark, sf))
     if extended_features:
-        table = extended.add_all_features(
-            dense, rules=ORDERS.rules, epoch_year=ORDERS.epoch_year, fill_nulls=False
-        )
+        table = stages.full_features(dense)
         numeric = extended.NUMERIC_FEATURES
     else:
         table = features.add_base_features(dense, rules=ORDERS.rules)

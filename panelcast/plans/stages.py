@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import half_even
 from panelcast.models import blend, forecast, naive, ridge, trees
 from panelcast.operators import cube, extended, features, panel, reports, split
-from panelcast.session import durable
+from panelcast.session import durable, tune_for_wide_tables
 from panelcast.sources import tables
 
 
@@ -59,9 +60,12 @@ def base_table(spark: SparkSession, sf_dir: str, setup: Setup = ORDERS) -> DataF
 
 def full_table(spark: SparkSession, sf_dir: str, setup: Setup = ORDERS) -> DataFrame:
     """Base and extended features over the full history, nulls kept so that it can be split."""
-    return extended.add_all_features(
-        dense_panel(spark, sf_dir), rules=setup.rules, epoch_year=setup.epoch_year, fill_nulls=False
-    )
+    return full_features(dense_panel(spark, sf_dir), setup)
+
+
+def full_features(dense: DataFrame, setup: Setup = ORDERS, fill_nulls: bool = False) -> DataFrame:
+    tune_for_wide_tables(dense.sparkSession)
+    return extended.add_all_features(dense, rules=setup.rules, epoch_year=setup.epoch_year, fill_nulls=fill_nulls)
 
 
 def train_rows(table: DataFrame, setup: Setup = ORDERS) -> DataFrame:
@@ -93,7 +97,7 @@ def cube_of(dense: DataFrame, setup: Setup = ORDERS) -> DataFrame:
     """Cube over history, the naive holdout forecast and the naive forecast beyond the history."""
     rows = test_rows(features.add_base_features(dense, rules=setup.rules), setup)
     keys = [*rows.columns[:2], "month"]
-    tested = rows.select(*keys, F.bround(naive.naive_forecast(), 0).cast("long").alias("forecast"))
+    tested = rows.select(*keys, half_even(naive.naive_forecast(), 0).cast("long").alias("forecast"))
     ahead = forecast.forecast_naive(dense).select(*keys, "forecast")
     until = dense.agg(F.max("month")).first()[0]
     first, last = _following_months(until, forecast.HORIZON)

@@ -73,8 +73,11 @@ def read_fields(
         .option("escape", '"')
         .csv(path)
     )
-    too_long = F.coalesce(_field_count(F.col(RAW_LINE)) > len(columns), F.lit(False))
-    return rows.withColumn("_file", F.col("_metadata.file_name")).filter(~too_long).drop(RAW_LINE)
+    # Well-formed rows count as no fields; looking at their first field keeps a
+    # data column in every scan, as a scan of the raw line alone is not allowed.
+    unflagged = -F.length(F.coalesce(F.col(columns[0]), F.lit("")))
+    fields = F.when(F.col(RAW_LINE).isNotNull(), _field_count(F.col(RAW_LINE))).otherwise(unflagged)
+    return rows.withColumn("_file", F.col("_metadata.file_name")).filter(fields <= len(columns)).drop(RAW_LINE)
 
 
 def header_of(spark: SparkSession, path: str | list[str], mark: str | None, without: tuple[str, ...]) -> list[str] | None:
