@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Leading and trailing white space, tabs, line ends and Unicode spaces included.
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+# White space removed at both ends, tabs, line ends and Unicode spaces included.
+OUTER_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    """Trim by a set of characters; a regular expression per row would cost far more."""
+    return F.btrim(text, F.lit(OUTER_SPACE))
 
 
 def group_name(text: Column) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from panelcast import TIME
 
 
+def month_date(year: int, month_no: int) -> dt.date:
+    return dt.date(year, month_no, 1)
+
+
 def in_years(time: str = TIME, first: int | None = None, last: int | None = None) -> Column:
     """Year range as a comparison on the month itself, which Parquet scans can skip files by."""
     condition = F.lit(True)

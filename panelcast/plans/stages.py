@@ -100,18 +100,20 @@ def cube_of(dense: DataFrame, setup: Setup = ORDERS) -> DataFrame:
     tested = rows.select(*keys, half_even(naive.naive_forecast(), 0).cast("long").alias("forecast"))
     ahead = forecast.forecast_naive(dense).select(*keys, "forecast")
     until = dense.agg(F.max("month")).first()[0]
-    first, last = _following_months(until, forecast.HORIZON)
+    first, last = following_months(until, forecast.HORIZON)
     return cube.forecast_cube(
         dense,
         tested.unionByName(ahead),
         setup.cube_first_year,
         last.year,
         until,
-        [(dt.date(setup.test_year, 1, 1), dt.date(setup.test_year, 12, 1)), (first, last)],
+        [(split.month_date(setup.test_year, 1), split.month_date(setup.test_year, 12)), (first, last)],
     )
 
 
-def _following_months(month: dt.date, n: int) -> tuple[dt.date, dt.date]:
+def following_months(month: dt.date, n: int) -> tuple[dt.date, dt.date]:
+    """First and last of the ``n`` months after ``month``."""
+
     def shift(k: int) -> dt.date:
         years, months = divmod(month.month - 1 + k, 12)
         return dt.date(month.year + years, months + 1, 1)

@@ -70,6 +70,8 @@ def read_fields(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", RAW_LINE)
         .option("multiLine", multi_line)
+        # Fields are counted against all columns, also when a query reads only some.
+        .option("columnPruning", False)
         .option("escape", '"')
         .csv(path)
     )

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.sources.records import clean_keys
+from panelcast.functions import text
+
+
+# Columns and types of the tables every query reads. With them Spark opens no
+# file to infer a schema before the query starts.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +36,12 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("value"),
         "o_custkey",
     )
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("unit"))
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("district"))
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", text.strip(F.col("c_mktsegment")).alias("unit")
+    )
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", text.group_name(F.col("n_name")).alias("district"))
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey).join(
         nations, F.col("c_nationkey") == nations.n_nationkey
     )
-    return clean_keys(joined.select("case_id", "received_at", "district", "unit", "area", "value"))
+    records = joined.select("case_id", "received_at", "district", "unit", "area", "value")
+    return records.dropna(subset=["district", "unit"])
