@@ -838,7 +838,7 @@ def district_summary(spark, sf):
 
 
 _UNITS = f"""SELECT district, unit, CAST(sum(y) AS BIGINT) AS actual,
-    CAST(round_even(sum(blend), 0) AS BIGINT) AS forecast,
+    CAST({q.even("sum(blend)", 0)} AS BIGINT) AS forecast,
     {q.even(f"coalesce({q.wmape('y', 'blend')}, 0)", 1)} AS wmape FROM pred GROUP BY district, unit"""
 
 
@@ -985,7 +985,7 @@ _HISTORY_VALUES = {
     "is_flag_year": "0",
 }
 _RIDGE_SQL = _recursive_sql(q.ridge(_HISTORY_VALUES))
-_AHEAD = f"SELECT {_KEYS}, {q.rnd('value')} AS value, CAST(round_even(value, 0) AS BIGINT) AS forecast FROM done"
+_AHEAD = f"SELECT {_KEYS}, {q.rnd('value')} AS value, CAST({q.even('value', 0)} AS BIGINT) AS forecast FROM done"
 
 
 @query("forecast_naive", f"{_NAIVE_SQL} {_AHEAD}")
