@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import op2_near_dups, op10_quality
+from panelcast.llm import (
+    op2_near_dups,
+    op3_language,
+    op5_fingerprints,
+    op6_mixing,
+    op8_chat,
+    op9_classifier,
+    op10_quality,
+)
 
 MODULES = {
     "op2_near_dups": op2_near_dups,
+    "op3_language_id": op3_language,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_mixing": op6_mixing,
+    "op8_chat_format": op8_chat,
+    "op9_quality_classifier": op9_classifier,
     "op10_quality_rules": op10_quality,
 }
 
