@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
+    op1_token_codes,
     op2_near_dups,
     op3_language,
     op5_fingerprints,
@@ -17,6 +18,7 @@ from panelcast.llm import (
 )
 
 MODULES = {
+    "op1_token_codes": op1_token_codes,
     "op2_near_dups": op2_near_dups,
     "op3_language_id": op3_language,
     "op5_fingerprints": op5_fingerprints,
