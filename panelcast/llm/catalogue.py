@@ -12,6 +12,7 @@ from panelcast.llm import (
     op3_language,
     op5_fingerprints,
     op6_mixing,
+    op7_packing,
     op8_chat,
     op9_classifier,
     op10_quality,
@@ -23,6 +24,7 @@ MODULES = {
     "op3_language_id": op3_language,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
     "op8_chat_format": op8_chat,
     "op9_quality_classifier": op9_classifier,
     "op10_quality_rules": op10_quality,
