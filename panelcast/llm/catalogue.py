@@ -10,6 +10,7 @@ from panelcast.llm import (
     op1_token_codes,
     op2_near_dups,
     op3_language,
+    op4_repeats,
     op5_fingerprints,
     op6_mixing,
     op7_packing,
@@ -22,6 +23,7 @@ MODULES = {
     "op1_token_codes": op1_token_codes,
     "op2_near_dups": op2_near_dups,
     "op3_language_id": op3_language,
+    "op4_suffix_dedup": op4_repeats,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,

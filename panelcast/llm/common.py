@@ -71,3 +71,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def values(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+#: Bits of the pre-filter of :func:`likely`, and bits per row of its table (what Spark's bitmap functions use).
+FILTER_BITS = 1 << 23
+BITMAP_BITS = 32768
+
+
+def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted`` (one column); none of it is lost.
+
+    A bitmap of hashes of fixed size (1 MB) is broadcast, so wide rows that a join would throw away
+    are not shuffled for it. With very many wanted values it passes more rows, and the exact
+    join that has to follow does more of the work.
+    """
+    name = wanted.columns[0]
+    place = F.pmod(F.xxhash64(F.col(name)), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("_place")).groupBy(F.expr(f"_place div {BITMAP_BITS}").alias("_row"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("_place") % BITMAP_BITS).alias("_bits"))
+    probed = rows.withColumn("_place", F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS)))
+    probed = probed.withColumn("_row", F.expr(f"_place div {BITMAP_BITS}"))
+    byte = f"cast(conv(hex(substring(_bits, cast(_place % {BITMAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"(shiftright({byte}, cast(_place % 8 as int)) & 1) = 1")
+    return probed.join(F.broadcast(bits), "_row").where(hit).drop("_row", "_place", "_bits")

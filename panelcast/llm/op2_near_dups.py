@@ -97,10 +97,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int = BAND_ROWS) -
     return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = common.stored(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
@@ -126,6 +124,21 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
 
 
+def own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """``id`` and ``own``: how many of a text's shingles no other one of ``texts`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            owners, keys = Flat.of(common.values(batch, "text"), lower=True).words().shingles(words)
+            yield pa.RecordBatch.from_arrays(
+                [common.values(batch, "id").take(pa.array(owners)), pa.array(keys.view(np.int64))], names=["id", "shingle"]
+            )
+
+    shingles = texts.mapInArrow(run, "id long, shingle long")
+    met = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    return met.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -145,10 +158,11 @@ def near_duplicates(
     2. Representatives that share a band are candidates. In each bucket the text that meets
        most others overall is compared with all of them, which joins a group of copies
        around its source without looking at all pairs.
-    3. Pairs of a bucket that are then still in different components are compared as well.
+    3. Pairs of a bucket that are then still in different components are compared as well, but for
+       those that shingles which only one of these texts has already rule out.
 
-    So no link between candidates is lost, and a group costs pairs only where its members are
-    not linked. Null or empty texts and texts without words link with nothing. Rows with a
+    So no link between candidates is lost. A group costs pairs only where its members are not
+    linked and yet may be: far copies mostly have enough shingles of their own to drop out alone. Null or empty texts and texts without words link with nothing. Rows with a
     null key are returned with a null component, kept. Rows with one key are one document and
     share their result. Other columns are not read.
     """
@@ -177,7 +191,11 @@ def near_duplicates(
         F.col("n_shingles").alias("n_b"),
     )
     stars = common.stored(stars.where("a != b").where(near).select("a", "b").distinct(), "pairs")
-    links = common.stored(verified(stars, source, words, percent), "links")
+
+    ends = members.select("id").distinct()
+    texts = common.likely(source, "id", ends).join(ends, "id", "left_semi").dropDuplicates(["id"])
+    texts = common.stored(texts, "texts")
+    links = common.stored(verified(stars, texts, words, percent), "links")
     roots = union_find.components(links)
 
     apart = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
@@ -185,14 +203,19 @@ def near_duplicates(
     )
     split = apart.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
     apart = common.stored(apart.join(split.select("bucket"), "bucket", "left_semi"), "apart")
-    one = apart.select("bucket", F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"))
-    two = apart.select("bucket", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
-    across = one.join(two, "bucket").where("root_a < root_b").where(near)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = own_shingles(texts.join(apart.select("id").distinct(), "id", "left_semi"), words)
+    apart = apart.join(own, "id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+    apart = common.stored(apart.where(f"100 * shared >= {percent} * n_shingles").drop("own"), "open")
+    one = apart.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "root", "shared")])
+    two = apart.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "root", "shared")])
+    common_most = "least(shared_a, shared_b)"
+    possible = F.expr(f"100 * {common_most} >= {percent} * (n_shingles_a + n_shingles_b - {common_most})")
+    across = one.join(two, (one["bucket"] == two["bucket"]) & F.expr("root_a < root_b") & possible)
+    across = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = common.stored(across.join(known, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
-        links = links.unionByName(verified(across, source, words, percent))
+        links = links.unionByName(verified(across, texts, words, percent))
         roots = union_find.components(links)
 
     answer = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

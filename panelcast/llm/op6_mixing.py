@@ -166,36 +166,39 @@ def chosen(begin: int, size: int, blocks: int, extra: int, turn: int, block_word
     return (block * step + turn) % blocks < extra
 
 
-def mixed_documents(docs: DataFrame, columns: list[str], text: str = "text", chars: str = "n_chars") -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars") -> DataFrame:
     """The mix itself: every text as often as it is taken whole, and its blocks taken once more as a row.
 
-    Returns ``columns`` of ``docs``; ``chars`` counts the characters of the new text. Words of a partial
-    text keep the white space between them; separate runs are joined by a line end.
+    Returns the columns of ``docs``; ``chars``, where there is such a column, counts the characters of
+    the new text. Words of a partial text keep the white space between them; separate runs are
+    joined by a line end. Texts without words are in no mix.
     """
-    mixed = mix(docs, columns, text=text)
-    whole = mixed.where("full > 0 and size > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("full"))).alias("_n"))
-    partial = mixed.where("taken > full * size").select(*columns, "size", "begin", "blocks", "extra", "turn")
+    columns = docs.columns
+    rows = docs.select(F.struct("*").alias("_row"), key, text, source)
+    mixed = mix(rows, ["_row"], source, text, key)
+    times = F.sequence(F.lit(1), F.col("full").cast("int"))
+    whole = mixed.where("full > 0 and size > 0").select("_row", F.explode(times)).select("_row.*")
+    partial = mixed.where("taken > full * size").select("_row", "size", "begin", "blocks", "extra", "turn")
+    partial = partial.withColumn("_text", F.col(f"_row.`{text}`"))
     word = re.compile(common.WORD)
-    at = columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, "_text"):
             numbers = [common.values(batch, name).to_pylist() for name in ("begin", "size", "blocks", "extra", "turn")]
             texts = []
-            for content, *place in zip(common.values(batch, text).to_pylist(), *numbers):
+            for content, *place in zip(common.values(batch, "_text").to_pylist(), *numbers):
                 take = chosen(*place)
-                spans = np.array([m.span() for m in word.finditer(content)])
+                spans = [m.span() for m in word.finditer(content)]
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], take.astype(np.int8), [0]])))
                 runs = [content[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])]
                 texts.append("\n".join(runs))
-            arrays = [common.values(batch, name) for name in columns]
-            arrays[at] = pa.array(texts, arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    schema = docs.select(*columns).schema
-    parts = partial.mapInArrow(cut, schema)
-    united = whole.drop("_n").unionByName(parts)
-    return united.withColumn(chars, F.char_length(text).cast("long")) if chars in columns else united
+            yield pa.RecordBatch.from_arrays([common.values(batch, "_row"), pa.array(texts, pa.string())], names=["_row", "_text"])
+
+    shape = partial.schema["_row"].dataType.simpleString()
+    parts = partial.mapInArrow(cut, f"_row {shape}, _text string")
+    changed = {text: F.col("_text"), chars: F.char_length("_text").cast(docs.schema[chars].dataType) if chars in columns else None}
+    parts = parts.select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in columns])
+    return whole.unionByName(parts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
