@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import common
@@ -356,12 +356,15 @@ def remove_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
     return done.select("_kept.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
-@F.pandas_udf("string")
-def readable(kept: pd.Series) -> pd.Series:
-    """Bytes left as text; characters that lost some of their bytes are left out."""
+def _decoded(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
 
+def readable(kept: str) -> Column:
+    """A column of bytes as text; characters that lost some of their bytes are left out."""
+    return F.pandas_udf(_decoded, "string")(kept)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(common.table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
