@@ -98,12 +98,17 @@ _COLUMNS = [name for name, _ in _ENTRY]
 
 
 def _earliest(entries: dict[str, np.ndarray], keys: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Entries ordered by ``keys`` and place, and which of them are the first of their key."""
-    order = np.lexsort([entries[c] for c in ("last", "first", "text", "id", *reversed(keys))])
+    """Entries ordered by ``keys`` and place, and which of them are the first of their key.
+
+    Entries of one place come from rows that share key and text; one of them is left.
+    """
+    place = ("id", "text", "first", "last")
+    order = np.lexsort([entries[c] for c in (*reversed(place), *reversed(keys))])
     entries = {c: v[order] for c, v in entries.items()}
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = np.any([entries[k][1:] != entries[k][:-1] for k in keys], axis=0)
-    return entries, first
+    new, other = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
+    new[1:] = np.any([entries[k][1:] != entries[k][:-1] for k in keys], axis=0)
+    other[1:] = new[1:] | np.any([entries[c][1:] != entries[c][:-1] for c in place], axis=0)
+    return {c: v[other] for c, v in entries.items()}, new[other]
 
 
 def _packed(entries: dict[str, np.ndarray], packs: int) -> pa.RecordBatch | None:

@@ -20,7 +20,8 @@ LONGEST = 48
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^ \t\r\n]+")
 _WORD_WITH_SPACE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-_LETTERS_THEN_MARKS = re.compile(r"( ?[^\W\d_]+)([^\w\s']+)")
+#: ASCII marks only (no apostrophe): others may be composed with the letter before them.
+_LETTERS_THEN_MARKS = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
