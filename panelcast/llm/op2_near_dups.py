@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm import common, union_find
@@ -139,6 +139,75 @@ def own_shingles(texts: DataFrame, words: int) -> DataFrame:
     return met.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
 
 
+def differences(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """What a text (``b``) and the leader of its bucket (``a``) do not have in common, one ``shingle`` a row.
+
+    ``linked``: are both similar enough. ``needed``: a text that is not linked to the leader can be
+    linked to ``b`` only if it has so many of these shingles among its own differences.
+
+    For a leader L, let x miss M(x) of L's shingles and have E(x) more. Two texts share
+    |L| - |M(x)| - |M(y)| + d shingles, d being the number of differences they have in common, and need
+    p / (100 + p) of the sum of their sizes. When x is not linked to L, that leaves
+    d > (100 |M(y)| + p |E(y)|) / (100 + p).
+    """
+    kept = ["a", "b", "root", "n_shingles", "shared"]
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text_b"):
+            sides = []
+            for name in ("text_a", "text_b"):
+                flat = Flat.of(common.values(batch, name), lower=True)
+                sides.append(flat.words().shingles(words))
+            owners = np.concatenate([side[0] for side in sides])
+            keys = np.concatenate([side[1] for side in sides])
+            extra = np.repeat([False, True], [len(side[0]) for side in sides])
+            order = np.lexsort((keys, owners))
+            owners, keys, extra = owners[order], keys[order], extra[order]
+            same = np.zeros(len(keys) + 1, dtype=bool)
+            same[1:-1] = (owners[1:] == owners[:-1]) & (keys[1:] == keys[:-1])
+            both = np.bincount(owners[same[1:]], minlength=batch.num_rows)
+            alone = ~(same[1:] | same[:-1])
+            owners, keys, extra = owners[alone], keys[alone], extra[alone]
+            missing = np.bincount(owners[~extra], minlength=batch.num_rows)
+            more = np.bincount(owners[extra], minlength=batch.num_rows)
+            linked = 100 * both >= percent * (both + missing + more)
+            needed = (100 * missing + percent * more) // (100 + percent) + 1
+            rows = pa.array(owners)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[common.values(batch, name).take(rows) for name in kept],
+                    pa.array(linked[owners]),
+                    pa.array((missing + more - needed + 1)[owners]),
+                    pa.array(keys.view(np.int64)),
+                ],
+                names=[*kept, "linked", "prefix", "shingle"],
+            )
+
+    joined = pairs.join(right, "b").join(left, "a").select(*kept, "text_a", "text_b")
+    schema = "a long, b long, root long, n_shingles long, shared long, linked boolean, prefix long, shingle long"
+    return joined.mapInArrow(run, schema)
+
+
+def possible_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of texts with one leader and different roots that may be linked, by their differences from it.
+
+    One of them is not linked to the leader. It must share one of the other's rarest differences, of
+    which so many are looked at that no more are left than ``needed`` less one.
+    """
+    counts = found.groupBy("a", "shingle").agg(F.count("*").alias("n"))
+    along = Window.partitionBy("a", "b").orderBy("n", "shingle")
+    rare = found.join(counts, ["a", "shingle"]).withColumn("place", F.row_number().over(along)).where("place <= prefix")
+    names = ("b", "root", "n_shingles", "shared")
+    one = found.where("not linked").select("a", "shingle", *[F.col(c).alias(f"{c}_1") for c in names])
+    two = rare.select("a", "shingle", *[F.col(c).alias(f"{c}_2") for c in names])
+    most = "least(shared_1, shared_2)"
+    possible = F.expr(f"root_1 != root_2 and 100 * {most} >= {percent} * (n_shingles_1 + n_shingles_2 - {most})")
+    pairs = one.join(two, ["a", "shingle"]).where(possible)
+    return pairs.select(F.least("b_1", "b_2").alias("a"), F.greatest("b_1", "b_2").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -159,10 +228,11 @@ def near_duplicates(
        most others overall is compared with all of them, which joins a group of copies
        around its source without looking at all pairs.
     3. Pairs of a bucket that are then still in different components are compared as well, but for
-       those that shingles which only one of these texts has already rule out.
+       those that cannot be linked: texts with too many shingles of their own, and pairs that
+       have too little in common of what sets them apart from their bucket's leader.
 
     So no link between candidates is lost. A group costs pairs only where its members are not
-    linked and yet may be: far copies mostly have enough shingles of their own to drop out alone. Null or empty texts and texts without words link with nothing. Rows with a
+    linked and yet may be; neither a source with many copies nor far copies are looked at pairwise. Null or empty texts and texts without words link with nothing. Rows with a
     null key are returned with a null component, kept. Rows with one key are one document and
     share their result. Other columns are not read.
     """
@@ -206,12 +276,9 @@ def near_duplicates(
     own = own_shingles(texts.join(apart.select("id").distinct(), "id", "left_semi"), words)
     apart = apart.join(own, "id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
     apart = common.stored(apart.where(f"100 * shared >= {percent} * n_shingles").drop("own"), "open")
-    one = apart.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "n_shingles", "root", "shared")])
-    two = apart.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "root", "shared")])
-    common_most = "least(shared_a, shared_b)"
-    possible = F.expr(f"100 * {common_most} >= {percent} * (n_shingles_a + n_shingles_b - {common_most})")
-    across = one.join(two, (one["bucket"] == two["bucket"]) & F.expr("root_a < root_b") & possible)
-    across = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    held = apart.join(leaders.select("bucket", (-F.col("leader.minus")).alias("a")), "bucket")
+    held = held.select("a", F.col("id").alias("b"), "root", "n_shingles", "shared").where("a != b").distinct()
+    across = possible_pairs(common.stored(differences(held, texts, words, percent), "differences"), percent)
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = common.stored(across.join(known, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():

@@ -1,27 +1,32 @@
 """Token ids of whole texts, with a bounded cache of words.
 
 Both public tokenizers cut a text at white space before they merge anything, so a piece between
-two cuts has the same ids anywhere. Most words of a corpus are repetitions: their ids come from
-a dictionary, only new words go through the tokenizer. Texts with white space other than blank, tab
-and line ends are encoded as a whole, since the cut rules differ there.
+two cuts has the same ids anywhere, and so have the letters before its closing marks. Most words
+of a corpus are repetitions: their ids come from a dictionary. New ones go through the tokenizer
+many at a time, joined to one text whose ids show where a word ends. Texts with white space
+other than blank, tab and line ends are encoded as a whole, since the cut rules differ there.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Words a process remembers; the cache is emptied when it is full.
-CACHE = 400_000
+CACHE = 600_000
 LONGEST = 48
+#: Words that are encoded as one text.
+JOINED = 2000
 
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^ \t\r\n]+")
 _WORD_WITH_SPACE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-#: ASCII marks only (no apostrophe): others may be composed with the letter before them.
-_LETTERS_THEN_MARKS = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+#: A line end, letters with at most one blank before them, and ASCII marks after them (no
+#: apostrophe; other marks may be composed with the letter before them).
+_PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -50,6 +55,13 @@ class Encoder:
         self.spaces = spaces
         self.cut = _WORD_WITH_SPACE if spaces else _WORD
         self.cache: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.opens = np.zeros(len(self.closes), dtype=bool)
+        for name, number in names.items():
+            self.closes[number] = name.endswith("</w>")
+            self.opens[number] = name.startswith("\u0120")  # how byte-level vocabularies write a blank
+        self.line_end = names.get("\u010a", -1)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the tokenizer, little-endian unsigned 32-bit."""
@@ -59,25 +71,64 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache, extra = self.cache, {}
         odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
         whole = dict(zip(odd, self.direct([texts[i] for i in odd]))) if odd else {}
-        words = [[] if i in whole else self.cut.findall(t) for i, t in enumerate(texts)]
-        missing = list({w for own in words for w in own if w not in cache})
+        cut = self.cut.findall
+        words = [[] if i in whole else cut(t) for i, t in enumerate(texts)]
+        every = set(chain.from_iterable(words))
+        missing = every.difference(self.cache)
+        lookup = self.cache
         if missing:
-            parts: dict[str, list[str]] = {}
-            for w in missing:
-                m = _LETTERS_THEN_MARKS.fullmatch(w)
-                pieces = [m[1], m[2]] if m else [w]
-                parts[w] = [self._folded(p) for p in pieces]
-            new = list({p for own in parts.values() for p in own if p not in cache})
-            found = dict(zip(new, self.direct(new)))
-            for table in (found, {w: b"".join(found[p] if p in found else cache[p] for p in own) for w, own in parts.items()}):
-                for w, packed in table.items():
-                    (cache if len(w) <= LONGEST else extra)[w] = packed
-        lookup = {**extra, **{w: cache[w] for own in words for w in own if w not in extra}} if extra else cache
+            found = self._new(missing)
+            long = {w: packed for w, packed in found.items() if len(w) > LONGEST}
+            if long:
+                lookup = {w: self.cache[w] for w in every.difference(missing)} | found
+                found = {w: packed for w, packed in found.items() if w not in long}
+            self.cache.update(found)
         get = lookup.__getitem__
         return [whole[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(words)]
 
-    def _folded(self, piece: str) -> str:
-        return piece.lower() if not self.spaces and piece.isascii() else piece
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the cache lacks, and of their parts."""
+        parts, simple = {}, []
+        match = _PARTS.fullmatch
+        for w in words:
+            m = match(w)
+            if m is None:
+                simple.append(w)
+                continue
+            own = tuple(p for p in m.groups() if p)
+            if not self.spaces and own[0].isascii():
+                own = (own[0].lower(), *own[1:])
+            parts[w] = own
+        new = set(chain.from_iterable(parts.values())).difference(self.cache)
+        found = self._joined([p for p in new if p.lstrip(" ").isalpha()])
+        rest = [*simple, *new.difference(found)]
+        found.update(zip(rest, self.direct(rest)))
+        cache = self.cache
+        for w, own in parts.items():
+            found[w] = b"".join([found[p] if p in found else cache[p] for p in own])
+        return found
+
+    def _joined(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters. A joined text whose ids do not show its words is left to the caller."""
+        found: dict[str, bytes] = {}
+        blank = [w for w in words if w[0] == " "]
+        bare = [w for w in words if w[0] != " "]
+        for group, glue in ((blank, ""), (bare, "\n" if self.spaces else " ")):
+            for start in range(0, len(group), JOINED):
+                some = group[start : start + JOINED]
+                ids_ = np.array(self.tokenizer.encode(glue.join(some), add_special_tokens=False).ids, dtype="<u4")
+                if not self.spaces:
+                    ends = np.flatnonzero(self.closes[ids_]) + 1
+                    starts = np.concatenate([[0], ends[:-1]])
+                elif glue:
+                    at = np.flatnonzero(ids_ == self.line_end)
+                    starts, ends = np.concatenate([[0], at + 1]), np.append(at, len(ids_))
+                else:
+                    starts = np.flatnonzero(self.opens[ids_])
+                    ends = np.append(starts[1:], len(ids_))
+                if len(starts) == len(some):
+                    packed = ids_.tobytes()
+                    found.update(zip(some, [packed[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]))
+        return found
