@@ -1,10 +1,10 @@
 """Token ids of whole texts, with a bounded cache of words.
 
 Both public tokenizers cut a text at white space before they merge anything, so a piece between
-two cuts has the same ids anywhere, and so have the letters before its closing marks. Most words
+two cuts has the same ids anywhere, and so have the letters before closing marks. Most words
 of a corpus are repetitions: their ids come from a dictionary. New ones go through the tokenizer
 many at a time, joined to one text whose ids show where a word ends. Texts with white space
-other than blank, tab and line ends are encoded as a whole, since the cut rules differ there.
+other than blank, tab and line ends are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -16,17 +16,22 @@ from itertools import chain
 import numpy as np
 
 #: Words a process remembers; the cache is emptied when it is full.
-CACHE = 600_000
+CACHE = 1_000_000
 LONGEST = 48
 #: Words that are encoded as one text.
 JOINED = 2000
 
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_WORD = re.compile(r"[^ \t\r\n]+")
-_WORD_WITH_SPACE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-#: A line end, letters with at most one blank before them, and ASCII marks after them (no
-#: apostrophe; other marks may be composed with the letter before them).
-_PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
+#: White space with cut rules of its own, and the one letter whose small form is a letter and a mark.
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u0130\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: ASCII marks but the apostrophe, which may start an ending; others may be composed with letters.
+_MARKS = r"[!-&(-/:-@\[-^`{-~]"
+_LETTERS = rf"[^\W\d_]+(?=[\s!-&(-/:-@\[-^`{{-~]|$)"
+#: Letters before marks or space, marks before space, anything else up to the next space.
+_WORD = re.compile(rf"{_LETTERS}|{_MARKS}+(?=\s|$)|[^ \t\r\n]+")
+#: The same with the white space before; a single line end before letters stands alone.
+_WORD_WITH_SPACE = re.compile(
+    rf" ?{_LETTERS}|{_MARKS}+(?=\s|$)|\n(?= ?[^\W\d_])|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+"
+)
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -71,7 +76,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
         whole = dict(zip(odd, self.direct([texts[i] for i in odd]))) if odd else {}
         cut = self.cut.findall
         words = [[] if i in whole else cut(t) for i, t in enumerate(texts)]
@@ -89,25 +94,17 @@ class Encoder:
         return [whole[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(words)]
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that the cache lacks, and of their parts."""
-        parts, simple = {}, []
-        match = _PARTS.fullmatch
-        for w in words:
-            m = match(w)
-            if m is None:
-                simple.append(w)
-                continue
-            own = tuple(p for p in m.groups() if p)
-            if not self.spaces and own[0].isascii():
-                own = (own[0].lower(), *own[1:])
-            parts[w] = own
-        new = set(chain.from_iterable(parts.values())).difference(self.cache)
-        found = self._joined([p for p in new if p.lstrip(" ").isalpha()])
-        rest = [*simple, *new.difference(found)]
+        """Ids of words that the cache lacks. Case is folded by the tokenizer that drops white space."""
+        if not self.spaces:
+            folded = {w: w.lower() for w in words if w.isascii() and not w.islower()}
+            new = words.difference(folded).union(folded.values()).difference(self.cache)
+        else:
+            folded, new = {}, words
+        found = self._joined([w for w in new if w.lstrip(" ").isalpha()])
+        rest = list(new.difference(found))
         found.update(zip(rest, self.direct(rest)))
-        cache = self.cache
-        for w, own in parts.items():
-            found[w] = b"".join([found[p] if p in found else cache[p] for p in own])
+        for w, low in folded.items():
+            found[w] = found[low] if low in found else self.cache[low]
         return found
 
     def _joined(self, words: list[str]) -> dict[str, bytes]:
