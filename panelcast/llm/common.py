@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,12 +34,16 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and continue from the files.
 
-    The result keeps no lineage: a lost executor costs a read, not a recomputation.
+    The result keeps no lineage: a lost executor costs a read, not a recomputation. Spark deletes
+    the shuffle files of finished jobs when the driver has collected their plans, so it is asked to.
     """
     spark = df.sparkSession
     path = new_folder(spark, what)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

@@ -5,11 +5,12 @@ names at later offsets: the bucket for 2n bytes is the pair of the buckets for n
 position and n bytes after it, and each refinement feeds the next (8, 16, 32, 64, 100 bytes).
 Names depend on content only, so suffixes of different tasks can be sorted together.
 
-Sorting every suffix of a corpus would move a hundred times its size, so only suffixes that can
-be repeated are: of every window of 100 bytes the position whose 40-byte bucket has the least name is
-marked (any two equal windows mark the same place). Marks of one bucket are refined by the
-windows around them: marks with equal surroundings are repeats but for the earliest; where surroundings
-differ, near the ends of a repeat, the windows themselves are refined and sorted.
+Sorting every suffix of a corpus would move many times its size, so only suffixes that can be
+repeated are: a window of 100 bytes falls to the 40-byte bucket with the least name among those inside it,
+and equal windows fall to the same one. Neighbouring windows that fall to one bucket are a run.
+Runs of a bucket are refined by their first and last window: runs with equal contents are repeats
+but for the earliest; where contents differ, near the ends of a repeat, the windows themselves are
+refined and sorted.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from panelcast.llm import common
 from panelcast.llm.flat import Flat, mix, positions
 
-#: Bytes of a repeat, and of the buckets that marks are chosen by.
+#: Bytes of a repeat, and of the buckets that windows fall to.
 LENGTH = 100
 GRAM = 40
 SLICE_BYTES = 1 << 19
@@ -82,15 +83,44 @@ class Suffixes:
         self.valid = np.zeros(len(self.windows), dtype=bool)
         self.valid[positions(flat.bounds[:-1], self.counts)] = True
 
-    def marks(self) -> np.ndarray:
-        """Positions that have the least 40-byte name of some window."""
+    def runs(self) -> dict[str, np.ndarray]:
+        """Runs of windows that fall to one bucket: its name, first and last window, name of the content.
+
+        A run has at most as many windows as share a byte with its first. Where a bucket occurs twice in
+        a run, windows of the run may equal each other: such runs are given twice, under two contents.
+        """
         width = LENGTH - GRAM + 1
-        if not len(self.windows):
-            return np.zeros(0, dtype=np.int64)
         least = _sliding(self.grams, width, np.minimum)
-        least = np.where(self.valid, least, np.uint64(0))
-        around = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
-        return np.flatnonzero(_sliding(around, width, np.maximum) == self.grams)
+        at = np.flatnonzero(self.valid)
+        if not len(at):
+            empty = np.zeros(0, dtype=np.int64)
+            return {"name": empty.astype(np.uint64), "around": empty.astype(np.uint64), "first": empty, "last": empty}
+        names = least[at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (names[1:] != names[:-1]) | (at[1:] != at[:-1] + 1)
+        start = np.flatnonzero(new)
+        long = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+        start = np.flatnonzero(long % width == 0)
+        first, last = at[start], at[np.append(start[1:], len(at)) - 1]
+        name = names[start]
+        content = _pair(_pair(self.windows[first], self.windows[last]), (last - first).astype(np.uint64))
+        twice = np.flatnonzero(self._again(name, first, last + width - 1))
+        return {
+            "name": np.concatenate([name, name[twice]]),
+            "around": np.concatenate([content, ~content[twice]]),
+            "first": np.concatenate([first, first[twice]]),
+            "last": np.concatenate([last, last[twice]]),
+        }
+
+    def _again(self, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Does a bucket name occur more than once among the positions from ``low`` to ``high``."""
+        size = len(self.grams)
+        offsets = np.arange(int((high - low).max()) + 1)
+        found = np.zeros(len(name), dtype=np.int64)
+        for offset in offsets:
+            at = low + offset
+            found += (at <= high) & (self.grams[np.minimum(at, size - 1)] == name)
+        return found > 1
 
 
 _ENTRY = [("name", "<u8"), ("around", "<u8"), ("id", "<i8"), ("text", "<u4"), ("first", "<u4"), ("last", "<u4")]
@@ -186,8 +216,8 @@ def _rows(entries: dict[str, np.ndarray], open_: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*values, pa.array(open_)], names=["id", "text", "first", "last", "open"])
 
 
-def _resolve_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks with equal surroundings: all but the earliest are repeats. Buckets with different ones stay open."""
+def _resolve_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with equal contents: all but the earliest are repeats. Buckets with different ones stay open."""
     for entries, spans in _by_pack(batches):
         if len(spans["name"]):
             yield _rows(spans, np.zeros(len(spans["name"]), dtype=bool))
@@ -239,32 +269,28 @@ def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     packs = packs or PACKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Gatherer(packs, ["name", "around"])
         for batch in common.slices(batches, "text", SLICE_BYTES):
             flat = Flat.of(common.values(batch, "text"))
             suffixes = Suffixes(flat)
-            at = suffixes.marks()
-            owner = np.searchsorted(flat.bounds, at, side="right") - 1
+            runs = suffixes.runs()
+            owner = np.searchsorted(flat.bounds, runs["first"], side="right") - 1
             begin = flat.bounds[owner]
-            first = np.maximum(begin, at - (LENGTH - GRAM))
-            last = np.minimum(at, begin + suffixes.counts[owner] - 1)
-            shape = ((at - first) << 16 | (last - first)).astype(np.uint64)
-            around = _pair(_pair(suffixes.windows[first], suffixes.windows[last]), shape)
             yield from out.add(
                 {
-                    "name": suffixes.grams[at],
-                    "around": around,
+                    "name": runs["name"],
+                    "around": runs["around"],
                     "id": common.values(batch, "id").to_numpy(zero_copy_only=False)[owner],
                     "text": _text_names(flat)[owner],
-                    "first": first - begin,
-                    "last": last - begin,
+                    "first": runs["first"] - begin,
+                    "last": runs["last"] - begin,
                 }
             )
         yield from out.flush()
 
-    dealt = docs.mapInArrow(mark, _PACK_SCHEMA).repartition("pack").sortWithinPartitions("pack")
-    found = common.stored(dealt.mapInArrow(_resolve_marks, _FOUND_SCHEMA), "marks")
+    dealt = docs.mapInArrow(deal, _PACK_SCHEMA).repartition("pack").sortWithinPartitions("pack")
+    found = common.stored(dealt.mapInArrow(_resolve_runs, _FOUND_SCHEMA), "runs")
 
     span = F.collect_list(F.struct("text", "first", "last")).alias("spans")
     opened = found.where("open").groupBy("id").agg(span)
