@@ -23,9 +23,15 @@ def group_name(text: Column) -> Column:
     return F.upper(strip(text))
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters capitalised, also after an apostrophe or a hyphen."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.substring(run, 2, 1 << 30))), "")
+
+
 def short_label(text: Column, width: int) -> Column:
     """Title case, cut to ``width`` characters: a chart label."""
-    return F.substring(F.initcap(text), 1, width)
+    return F.substring(title_case(text), 1, width)
 
 
 def thousands(number: Column) -> Column:

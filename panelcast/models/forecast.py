@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +27,12 @@ from panelcast.operators.features import (
 from panelcast.operators.panel import series_list, tail
 from panelcast.session import durable
 
-# Months to forecast, rows of history kept per series.
+# Months to forecast.
 HORIZON = 12
-HISTORY_ROWS = 24
-
-
 # The longest look back of the base features: the lag of twelve.
 LOOK_BACK = 12
 
+
 def histories(panel: DataFrame, rows: int = LOOK_BACK, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
     """One row per series: its last values in time order, its last month, its usual area."""
     cells = F.sort_array(F.collect_list(F.struct(time, F.col(target).cast("double").alias(target))))
@@ -44,7 +43,8 @@ def histories(panel: DataFrame, rows: int = LOOK_BACK, keys=KEYS, time=TIME, tar
 
 
 def _whole_number(value: Column) -> Column:
-    return half_even(F.coalesce(value, F.lit(0.0)), 0).cast("long").alias("forecast")
+    """A forecast that could not be made is null, as its value is."""
+    return half_even(value, 0).cast("long").alias("forecast")
 
 
 def forecast_naive(panel: DataFrame, horizon: int = HORIZON, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
@@ -98,8 +98,9 @@ def _ridge_recursion(model: RidgeModel, rules: CalendarRules, horizon: int):
         for batch in batches:
             frame = batch.to_pandas()
             values = np.full((len(frame), LOOK_BACK + horizon), np.nan)
-            for row, past in enumerate(frame.pop("history")):
-                values[row, LOOK_BACK - len(past) : LOOK_BACK] = past
+            past = pa.compute.list_flatten(batch.column(batch.schema.get_field_index("history")))
+            values[:, :LOOK_BACK] = past.to_numpy(zero_copy_only=False).reshape(len(frame), LOOK_BACK)
+            frame = frame.drop(columns="history")
             month_no, area_flag = frame.pop("month_no").to_numpy(), frame.pop("area_flag").to_numpy()
             for i in range(horizon):
                 known = features(values[:, i : i + LOOK_BACK], (month_no + i) % 12 + 1, area_flag)
@@ -128,8 +129,11 @@ def forecast_ridge(
     are ordinary ones. A forecast without enough history is null.
     """
     series = histories(panel, LOOK_BACK, keys, time, target)
+    # Short histories are padded at the front, so that a batch is one matrix.
+    missing = F.array_repeat(F.lit(None).cast("double"), F.lit(LOOK_BACK) - F.size("history"))
+    padded = F.concat(missing, "history").alias("history")
     rows = series.select(
-        *keys, "last_month", "history", F.month("last_month").alias("month_no"), area_features(rules)["area_flag"].alias("area_flag")
+        *keys, "last_month", padded, F.month("last_month").alias("month_no"), area_features(rules)["area_flag"].alias("area_flag")
     )
     names = {k: dict(rows.dtypes)[k] for k in keys}
     schema = ", ".join([*[f"{k} {t}" for k, t in names.items()], "last_month date", "values array<double>"])
@@ -148,20 +152,19 @@ def forecast_trees(
     horizon: int = HORIZON,
     extended: bool = False,
     epoch_year: int = EPOCH_YEAR,
-    history_rows: int = HISTORY_ROWS,
+    history_rows: int | None = None,
     keys=KEYS,
     time=TIME,
     target=TARGET,
 ) -> DataFrame:
     """Boosted-tree recursion: one distributed prediction per month.
 
-    The state is the recent panel, with empty rows for the month to predict.
-    Every step builds the features on at most ``history_rows`` rows per series,
-    predicts the empty rows, and writes the next state to the checkpoint folder,
+    The state is the panel, with empty rows for the month to predict. Every step
+    builds the features on the whole history, as in training (``history_rows`` limits
+    it to so many last rows per series, which changes features that look further back), predicts the empty rows, and writes the next state to the checkpoint folder,
     so lineage does not grow with the horizon and a lost executor costs one step.
     """
     rules = replace(rules, flag_years=())
-    kept = max(history_rows, horizon)
     universe = durable(series_list(panel, keys))
     last_month = panel.agg(F.max(time)).first()[0]
 
@@ -170,12 +173,12 @@ def forecast_trees(
 
     def open_month(known: DataFrame, i: int) -> DataFrame:
         empty = universe.select(*keys, month(i).alias(time), F.lit(None).cast("double").alias(target), AREA)
-        return durable(tail(known.unionByName(empty), kept, keys, time))
+        return durable(known.unionByName(empty))
 
     known = panel.select(*keys, time, F.col(target).cast("double").alias(target), AREA)
     for i in range(1, horizon + 1):
         state = open_month(known, i)
-        recent = state if kept == history_rows else tail(state, history_rows, keys, time)
+        recent = state if history_rows is None else tail(state, history_rows, keys, time)
         if extended:
             features = add_all_features(recent, keys, time, target, rules, epoch_year)
         else:

@@ -1,30 +1,37 @@
-"""Gradient-boosted trees on numeric and categorical features, through Spark ML."""
+"""Gradient-boosted trees on numeric and categorical features, through Spark ML.
+
+Categories enter as smoothed means of the target. A training row gets the mean of the other
+folds' rows, so its own target is not in its features; rows to predict get the mean of all.
+The encoding is the same for any number of values and lives in joined tables.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast import KEYS, TARGET
 from panelcast.functions.numeric import not_negative
 from panelcast.session import durable
 
-# A split over a category needs one bin per value and the labels go through the
-# driver; columns with more values than this are encoded by a joined table instead.
-MAX_CATEGORIES = 4096
-MIN_BINS = 32
-VALIDATION = "_validation"
+FOLDS = 5
+# Rows that the overall mean counts for in the mean of a category.
+SMOOTHING = 20.0
+# One category may hold a third of all rows; its joins are spread over so many keys.
+SALTS = 16
+BINS = 64
+FEATURES = "_features"
 
 
 @dataclass(frozen=True)
 class TreeParams:
     """Boosting parameters. Spark ML grows trees level by level: there is no leaf
-    limit and no L1/L2 penalty, ``min_rows`` and ``min_gain`` restrain leaves instead."""
+    limit and no L1/L2 penalty, ``min_rows`` and ``min_gain`` restrain leaves instead.
+    ``patience``: trees to wait for a lower error on the validation rows."""
 
     trees: int = 300
     rate: float = 0.05
@@ -34,45 +41,97 @@ class TreeParams:
     min_rows: int = 20
     min_gain: float = 0.0
     seed: int = 42
+    patience: int = 30
 
 
 # Parameters of the two boosted models.
-BASE_TREES = TreeParams(trees=300, rate=0.05, depth=8, row_share=0.8, feature_share=0.8)
-EXTENDED_TREES = TreeParams(trees=400, rate=0.04, depth=10, row_share=0.75, feature_share=0.75)
+BASE_TREES = TreeParams(trees=300, rate=0.05, depth=8, row_share=0.8, feature_share=0.8, patience=30)
+EXTENDED_TREES = TreeParams(trees=400, rate=0.04, depth=10, row_share=0.75, feature_share=0.75, patience=50)
+
+
+def fold_of(keys: list[str]) -> Column:
+    """All rows of a series are in one fold."""
+    digest = F.md5(F.concat_ws("|", *keys))
+    return (F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % FOLDS).cast("int")
+
+
+def fold_levels(rows: DataFrame, column: str, overall: float, keys: list[str], target: str = TARGET) -> DataFrame:
+    """Per value and fold, the smoothed mean of the target over the other folds."""
+    y = F.col(target).cast("double")
+    parts = rows.groupBy(column, fold_of(keys).alias("fold")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    totals = parts.groupBy(column).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.collect_list(F.struct("fold", "s", "n")).alias("parts"))
+    folds = totals.select(column, "all_s", "all_n", "parts", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"))
+    own = F.expr("get(filter(parts, p -> p.fold = fold), 0)")
+    rest_s = F.col("all_s") - F.coalesce(own["s"], F.lit(0.0))
+    rest_n = F.col("all_n") - F.coalesce(own["n"], F.lit(0))
+    level = (rest_s + F.lit(SMOOTHING * overall)) / (rest_n + F.lit(SMOOTHING))
+    return folds.select(column, "fold", level.alias(f"{column}_level"))
+
+
+def levels(rows: DataFrame, column: str, overall: float, target: str = TARGET) -> DataFrame:
+    """Per value, the smoothed mean of the target."""
+    y = F.col(target).cast("double")
+    level = (F.sum(y) + F.lit(SMOOTHING * overall)) / (F.count(y) + F.lit(SMOOTHING))
+    return rows.groupBy(column).agg(level.alias(f"{column}_level"))
+
+
+def _attach(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of a table with one row per key, spread over salts on both sides."""
+    salted = df.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
 @dataclass
 class TreeModel:
-    pipeline: PipelineModel
+    regressor: GBTRegressionModel
     numeric: list[str]
     categorical: list[str]
-    # Category columns too wide for indexing: column -> (value, mean target) table.
+    # Column -> (value, mean target) table.
     encodings: dict[str, DataFrame] = field(default_factory=dict)
     overall: float = 0.0
 
+    @property
+    def inputs(self) -> list[str]:
+        return [*self.numeric, *[f"{c}_level" for c in self.categorical]]
+
     def prepare(self, df: DataFrame) -> DataFrame:
+        """Add the feature vector; a category that training never saw gets the overall mean."""
         for column, means in self.encodings.items():
-            df = df.join(means, column, "left").fillna({f"{column}_level": self.overall})
-        return df
+            df = _attach(df, means, [column]).fillna({f"{column}_level": self.overall})
+        return VectorAssembler(inputCols=self.inputs, outputCol=FEATURES).transform(df)
 
     def predict(self, df: DataFrame, name: str = "forecast") -> DataFrame:
         """Clipped prediction as a new column; categories unseen in training keep their rows."""
-        scored = self.pipeline.transform(self.prepare(df))
+        scored = self.regressor.transform(self.prepare(df))
         extra = [c for c in scored.columns if c not in df.columns and c != "prediction"]
         return scored.withColumn(name, not_negative(F.col("prediction"))).drop("prediction", *extra)
 
     def importance(self, spark: SparkSession) -> DataFrame:
         """Share of the total gain per feature (as many rows as features)."""
-        inputs = self.pipeline.stages[-2].getInputCols()
-        weights = self.pipeline.stages[-1].featureImportances.toArray()
-        names = [c.removesuffix("_index").removesuffix("_level") for c in inputs]
-        rows = [(name, float(weight)) for name, weight in zip(names, weights)]
+        weights = self.regressor.featureImportances.toArray()
+        rows = [(name.removesuffix("_level"), float(weight)) for name, weight in zip(self.inputs, weights)]
         return spark.createDataFrame(rows, "feature string, importance double")
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        """Trees, encodings and the lists of features; :meth:`load` needs nothing else."""
+        self.regressor.write().overwrite().save(f"{path}/regressor")
+        spark = None
         for column, means in self.encodings.items():
             means.write.mode("overwrite").parquet(f"{path}/encoding_{column}")
+            spark = means.sparkSession
+        spark = spark or SparkSession.active()
+        about = [(self.numeric, self.categorical, float(self.overall))]
+        schema = "numeric array<string>, categorical array<string>, overall double"
+        spark.createDataFrame(about, schema).coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TreeModel:
+        schema = "numeric array<string>, categorical array<string>, overall double"
+        about = spark.read.schema(schema).json(f"{path}/about").first()
+        encodings = {c: spark.read.parquet(f"{path}/encoding_{c}") for c in about.categorical}
+        regressor = GBTRegressionModel.load(f"{path}/regressor")
+        return cls(regressor, list(about.numeric), list(about.categorical), encodings, about.overall)
 
 
 def category_dictionary(train: DataFrame, column: str) -> DataFrame:
@@ -90,12 +149,47 @@ def align_categories(df: DataFrame, train: DataFrame, columns: list[str], unknow
     return df
 
 
-def _category_counts(train: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Distinct values per column: the columns' combinations first, then one small aggregate."""
-    if not columns:
-        return {}
-    row = train.select(*columns).distinct().agg(*[F.countDistinct(c).alias(c) for c in columns]).first()
-    return row.asDict()
+def _booster(params: TreeParams, target: str, trees: int) -> GBTRegressor:
+    return GBTRegressor(
+        featuresCol=FEATURES,
+        labelCol=target,
+        maxIter=trees,
+        stepSize=params.rate,
+        maxDepth=params.depth,
+        subsamplingRate=params.row_share,
+        featureSubsetStrategy=str(params.feature_share),
+        minInstancesPerNode=params.min_rows,
+        minInfoGain=params.min_gain,
+        maxBins=BINS,
+        cacheNodeIds=False,
+        seed=params.seed,
+    )
+
+
+def first_minimum(errors: list[float], patience: int) -> tuple[int, bool]:
+    """Place of the lowest error before ``patience`` values in a row are no lower, and whether that happened."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def best_trees(learned: DataFrame, held: DataFrame, params: TreeParams, target: str) -> int:
+    """How many trees to keep, by the error on ``held`` after every tree.
+
+    Trees depend on those before them only, so a shorter run is a prefix of the longest. The
+    runs double in length until the patience ends, or all trees are grown.
+    """
+    trees = min(params.trees, 2 * params.patience)
+    while True:
+        errors = _booster(params, target, trees).fit(learned).evaluateEachIteration(held, "squared")
+        best, ended = first_minimum(errors, params.patience)
+        if ended or trees >= params.trees:
+            return best + 1
+        trees = min(params.trees, 2 * trees)
 
 
 def fit_trees(
@@ -105,44 +199,29 @@ def fit_trees(
     params: TreeParams = BASE_TREES,
     validation: DataFrame | None = None,
     target: str = TARGET,
-    max_categories: int = MAX_CATEGORIES,
 ) -> TreeModel:
-    """Fit on ``train``; with ``validation`` stop adding trees once they no longer help there.
+    """Fit on ``train``. With ``validation`` the number of trees is chosen there, by a model that has
+    not seen it; then that many trees are fitted on both.
 
     The training rows are written once: boosting passes over them many times.
     """
     categorical = list(KEYS) if categorical is None else categorical
     needed = [*numeric, *categorical, target]
-    rows = train.select(*needed).withColumn(VALIDATION, F.lit(False))
-    if validation is not None:
-        rows = rows.unionByName(validation.select(*needed).withColumn(VALIDATION, F.lit(True)))
-    rows = durable(rows)
-    learned = rows.filter(~F.col(VALIDATION))
-    counts = _category_counts(learned, categorical)
-    narrow = [c for c in categorical if counts[c] < max_categories]
-    wide = [c for c in categorical if c not in narrow]
-    encodings = {c: learned.groupBy(c).agg(F.avg(target).alias(f"{c}_level")) for c in wide}
-    overall = learned.agg(F.avg(target)).first()[0] if wide else 0.0
-    model = TreeModel(PipelineModel([]), numeric, categorical, encodings, overall or 0.0)
-
-    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in narrow]
-    inputs = [*numeric, *[f"{c}_index" for c in narrow], *[f"{c}_level" for c in wide]]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    booster = GBTRegressor(
-        featuresCol="_features",
-        labelCol=target,
-        maxIter=params.trees,
-        stepSize=params.rate,
-        maxDepth=params.depth,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.feature_share),
-        minInstancesPerNode=params.min_rows,
-        minInfoGain=params.min_gain,
-        maxBins=max([MIN_BINS, *[counts[c] + 1 for c in narrow]]),
-        seed=params.seed,
-    )
+    rows = durable(train.select(*needed))
+    overall = rows.agg(F.avg(target)).first()[0] or 0.0
+    encodings = {c: durable(levels(rows, c, overall, target)) for c in categorical}
+    model = TreeModel(None, list(numeric), categorical, encodings, overall)
+
+    learned = rows.withColumn("fold", fold_of(categorical)) if categorical else rows
+    for column in categorical:
+        learned = _attach(learned, fold_levels(rows, column, overall, categorical, target), [column, "fold"])
+        learned = learned.fillna({f"{column}_level": overall})
+    assembled = VectorAssembler(inputCols=model.inputs, outputCol=FEATURES).transform(learned)
+    learned = durable(assembled.select(FEATURES, target))
     if validation is not None:
-        booster = booster.setValidationIndicatorCol(VALIDATION)
-    stages.append(booster)
-    model.pipeline = Pipeline(stages=stages).fit(model.prepare(rows))
+        held = durable(model.prepare(validation.select(*needed)).select(FEATURES, target))
+        trees = best_trees(learned, held, params, target)
+        both = rows.unionByName(validation.select(*needed))
+        return fit_trees(both, numeric, categorical, replace(params, trees=trees), target=target)
+    model.regressor = _booster(params, target, params.trees).fit(learned)
     return model

@@ -169,7 +169,7 @@ def label_format(summary: DataFrame, by: str = KEYS[0]) -> DataFrame:
     """Display strings: title-cased name, grouped thousands, percentage."""
     return summary.select(
         by,
-        F.initcap(by).alias("title"),
+        text.title_case(F.col(by)).alias("title"),
         text.short_label(F.col(by), LABEL_WIDTH).alias("label"),
         text.thousands(F.col("actual")).alias("volume_text"),
         text.percent(F.col("wmape")).alias("wmape_text"),
@@ -180,9 +180,11 @@ def yearly_totals(panel: DataFrame, time=TIME, target=TARGET) -> DataFrame:
     return panel.groupBy(F.year(time).alias("year")).agg(F.sum(target).alias("cases"))
 
 
-def yearly_trend(panel: DataFrame, first_year: int, time=TIME, target=TARGET) -> DataFrame:
-    """Totals per complete year and their change in percent (0 for the first)."""
-    totals = yearly_totals(panel.filter(in_years(time, first=first_year)), time, target)
+def yearly_trend(panel: DataFrame, time=TIME, target=TARGET) -> DataFrame:
+    """Totals per complete year (all twelve months observed) and their change in percent (0 for the first)."""
+    months = panel.groupBy(time).agg(F.sum(target).alias("cases"))
+    years = months.groupBy(F.year(time).alias("year")).agg(F.sum("cases").alias("cases"), F.count("*").alias("months"))
+    totals = years.filter("months = 12").drop("months")
     # One row per year reaches this window.
     before = F.lag("cases").over(Window.partitionBy(F.lit(0)).orderBy("year"))
     change = half_even(F.try_divide(F.col("cases") - before, before) * 100.0, 1)
@@ -239,15 +241,22 @@ def residual_pairs(predictions: DataFrame, forecast: str, target=TARGET) -> Data
 
 
 def residual_histogram(predictions: DataFrame, forecast: str, target=TARGET, bins: int = RESIDUAL_BINS) -> DataFrame:
-    """Equal-width histogram of residuals; the largest residual belongs to the last bin."""
+    """Equal-width histogram of residuals: every bin, its edges and its count.
+
+    The largest residual belongs to the last bin. With a single value there is no
+    width, and everything is in the first bin.
+    """
     residuals = residual_pairs(predictions, forecast, target)
-    edges = residuals.agg(F.struct(F.min("residual").alias("lo"), F.max("residual").alias("hi")).alias("edges"))
-    placed = residuals.withColumn("edges", edges.scalar())
+    edges = residuals.agg(F.min("residual").alias("lo"), F.max("residual").alias("hi"))
+    placed = residuals.withColumn("edges", edges.select(F.struct("lo", "hi").alias("edges")).scalar())
     lo, hi = F.col("edges.lo"), F.col("edges.hi")
-    # With a single value there is no width; everything is in the first bin.
     place = F.coalesce(F.floor(F.try_divide(F.col("residual") - lo, hi - lo) * F.lit(float(bins))), F.lit(0))
     bucket = F.least(place, F.lit(bins - 1)) + 1
-    return placed.groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = placed.groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = edges.where("lo is not null").withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    frame = every.select("bin", (F.col("lo") + width * (F.col("bin") - 1)).alias("low"), (F.col("lo") + width * F.col("bin")).alias("high"))
+    return frame.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def forecast_totals(forecast: DataFrame, value: str = "forecast", time=TIME) -> DataFrame:

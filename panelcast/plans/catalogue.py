@@ -7,12 +7,13 @@ order of its parts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions import dates
+from panelcast.functions import dates, text
 from panelcast.models import blend, forecast, ridge, trees
 from panelcast.operators import cube, extended, features, panel, profile, reports, split
 from panelcast.plans import sql as q
@@ -722,6 +723,25 @@ def ridge_importance(spark, sf):
     return _fitted(spark, sf).importance(spark)
 
 
+_TERMS = " UNION ALL ".join(f"SELECT '{c}' AS feature" for c in [ridge.BIAS, *features.BASE_FEATURES])
+
+
+@query("ridge_residual", f"SELECT feature, 0e0 AS residual FROM ({_TERMS})")
+def ridge_residual(spark, sf):
+    """What the fitted coefficients leave of the normal equations, relative to their right side: nothing."""
+    train = stages.durable(stages.train_rows(stages.base_table(spark, sf)))
+    gram = stages.durable(ridge.gram_matrix(train))
+    beta = ridge.fit_ridge(train).table(spark).select(F.col("feature").alias("col"), "beta")
+    square = gram.where("col != 'y'")
+    mirrored = square.where("row != col").select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+    penalised = (F.col("row") == F.col("col")) & (F.col("row") != ridge.BIAS)
+    term = (F.col("value") + F.when(penalised, F.lit(ridge.PENALTY)).otherwise(F.lit(0.0))) * F.col("beta")
+    left = square.unionByName(mirrored).join(beta, "col").groupBy("row").agg(F.sum(term).alias("left"))
+    right = gram.where("col = 'y'").select("row", F.col("value").alias("right"))
+    residual = (F.col("left") - F.col("right")) / (F.abs("right") + F.lit(1.0))
+    return left.join(right, "row").select(F.col("row").alias("feature"), F.abs(F.round(residual, 6)).alias("residual"))
+
+
 _ALPHAS = ", ".join(f"({round(i * blend.GRID_STEP, 2)}e0, {q.num(i * blend.GRID_STEP)}, {q.num(1.0 - i * blend.GRID_STEP)})" for i in range(blend.GRID_STEPS + 1))
 _CURVE = f"""WITH {q.HOLDOUT}, grid(alpha, a, b) AS (VALUES {_ALPHAS}),
     curve AS (SELECT alpha, {q.wmape("y", "greatest(a * m0 + b * m1, 0e0)")} AS score FROM hold CROSS JOIN grid GROUP BY alpha)"""
@@ -897,25 +917,40 @@ def scatter_points(spark, sf):
     return show(reports.scatter_points(reports.segment_summary(stages.predictions(spark, sf), "blend")))
 
 
+def _title_sql(name: str) -> str:
+    """Runs of letters capitalised, put together again with what stands between them."""
+    runs = f"regexp_extract_all(lower({name}), '(\\p{{L}}+|[^\\p{{L}}]+)')"
+    return f"array_to_string([upper(run[1]) || run[2:] FOR run IN {runs}], '')"
+
+
 @query(
     "label_format",
-    f"""WITH {q.SUMMARY} SELECT district, upper(district[1]) || lower(district[2:]) AS title,
-        substr(upper(district[1]) || lower(district[2:]), 1, 12) AS label, format('{{:,}}', actual) AS volume_text,
-        format('{{:.1f}}%', wmape) AS wmape_text FROM summary""",
+    f"""WITH {q.SUMMARY} SELECT district, {_title_sql("district")} AS title, substr({_title_sql("district")}, 1, 12) AS label,
+        format('{{:,}}', actual) AS volume_text, format('{{:.1f}}%', wmape) AS wmape_text FROM summary""",
 )
 def label_format(spark, sf):
     return reports.label_format(reports.segment_summary(stages.predictions(spark, sf), "blend"))
 
 
+_COMPOUND = "(n_name || chr(39) || n_name || ' do-' || n_name)"
+
+
+@query("title_case", f"SELECT n_nationkey, {_title_sql(_COMPOUND)} AS title FROM nation")
+def title_case(spark, sf):
+    """Names of several words, with an apostrophe and a hyphen."""
+    compound = F.concat("n_name", F.lit("'"), "n_name", F.lit(" do-"), "n_name")
+    return tables.table(spark, sf, "nation").select("n_nationkey", text.title_case(compound).alias("title"))
+
+
 @query(
     "yearly_trend",
     f"""WITH {q.DENSE}, t AS (SELECT CAST(year(month) AS INTEGER) AS year, CAST(sum(y) AS BIGINT) AS cases
-                           FROM dense WHERE year(month) >= 1996 GROUP BY 1)
+                           FROM dense GROUP BY 1 HAVING count(DISTINCT month) = 12)
         SELECT year, cases, {q.even("coalesce((cases - lag(cases) OVER (ORDER BY year)) / CAST(lag(cases) OVER (ORDER BY year) AS DOUBLE) * 100e0, 0)", 1)}
                AS change_pct FROM t""",
 )
 def yearly_trend(spark, sf):
-    return show(reports.yearly_trend(stages.sparse_panel(spark, sf), 1996))
+    return show(reports.yearly_trend(stages.sparse_panel(spark, sf)))
 
 
 @query(
@@ -946,12 +981,15 @@ def residual_pairs(spark, sf):
 
 @query(
     "residual_histogram",
-    f"""WITH {q.PREDICTIONS}, e AS (SELECT min(y - naive) AS lo, max(y - naive) AS hi FROM pred)
-        SELECT CAST(least(floor((y - naive - lo) / (hi - lo) * 60e0), 59) + 1 AS INTEGER) AS bin, count(*) AS n
-        FROM pred CROSS JOIN e GROUP BY 1""",
+    f"""WITH {q.PREDICTIONS}, e AS (SELECT min(y - naive) AS lo, max(y - naive) AS hi FROM pred),
+        c AS (SELECT least(floor((y - naive - lo) / (hi - lo) * 60e0), 59) + 1 AS bin, count(*) AS n
+              FROM pred CROSS JOIN e GROUP BY 1)
+        SELECT CAST(b.bin AS INTEGER) AS bin, {q.rnd("lo + (hi - lo) / 60e0 * (b.bin - 1)")} AS low,
+               {q.rnd("lo + (hi - lo) / 60e0 * b.bin")} AS high, coalesce(c.n, 0) AS n
+        FROM range(1, 61) b(bin) CROSS JOIN e LEFT JOIN c ON c.bin = b.bin""",
 )
 def residual_histogram(spark, sf):
-    return reports.residual_histogram(stages.durable(stages.predictions(spark, sf)), "naive")
+    return show(reports.residual_histogram(stages.durable(stages.predictions(spark, sf)), "naive"))
 
 
 # --- forecast -------------------------------------------------------------
@@ -1010,54 +1048,99 @@ def forecast_totals(spark, sf):
     return show(reports.forecast_totals(forecast.forecast_naive(stages.dense_panel(spark, sf))))
 
 
-def _tree_rows(spark, sf, extended_features: bool):
+def _tree_table(spark, sf, extended_features: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     dense = stages.durable(stages.dense_panel(spark, sf))
     if extended_features:
-        table = stages.full_features(dense)
-        numeric = extended.NUMERIC_FEATURES
+        table, numeric = stages.full_features(dense), extended.NUMERIC_FEATURES
     else:
-        table = features.add_base_features(dense, rules=ORDERS.rules)
-        numeric = features.BASE_FEATURES
-    table = stages.durable(extended.zero_nulls(split.drop_warmup(table), numeric))
-    train = table.filter(split.in_years(last=ORDERS.last_train_year))
-    test = table.filter(split.in_years(first=ORDERS.test_year, last=ORDERS.test_year))
-    model = trees.fit_trees(train, numeric, params=stages.CATALOGUE_TREES, validation=test)
-    return dense, test, model
+        table, numeric = features.add_base_features(dense, rules=ORDERS.rules), features.BASE_FEATURES
+    return dense, stages.durable(extended.zero_nulls(split.drop_warmup(table), numeric)), numeric
+
+
+# Fitted models of this process's sessions, by application, tables and features: where they are stored.
+_STORED_TREES: dict[tuple[str, str, bool], str] = {}
+
+
+def _trees(spark, sf, extended_features: bool, table: DataFrame, numeric: list[str]) -> trees.TreeModel:
+    """The model of the five tree queries: fitted by the first of them, loaded by the others.
+
+    Trees are counted on the last training year; the test year is for scoring only.
+    """
+    place = (spark.sparkContext.applicationId, sf, extended_features)
+    if place not in _STORED_TREES:
+        earlier = table.filter(split.in_years(last=ORDERS.last_train_year - 1))
+        last = table.filter(split.in_years(first=ORDERS.last_train_year, last=ORDERS.last_train_year))
+        params = trees.EXTENDED_TREES if extended_features else trees.BASE_TREES
+        model = trees.fit_trees(earlier, numeric, params=params, validation=last)
+        path = f"{spark.sparkContext.getCheckpointDir()}/trees-{uuid.uuid4().hex}"
+        model.save(path)
+        _STORED_TREES[place] = path
+    return trees.TreeModel.load(spark, _STORED_TREES[place])
 
 
 def _tree_predictions(spark, sf, extended_features: bool) -> DataFrame:
-    _, test, model = _tree_rows(spark, sf, extended_features)
-    return show(model.predict(test).select("district", "unit", "month", "y", "forecast"))
+    _, table, numeric = _tree_table(spark, sf, extended_features)
+    model = _trees(spark, sf, extended_features, table, numeric)
+    test = table.filter(split.in_years(first=ORDERS.test_year, last=ORDERS.test_year))
+    return model.predict(test)
 
 
 @query("model_gbt")
 def model_gbt(spark, sf):
-    return _tree_predictions(spark, sf, False)
+    return show(_tree_predictions(spark, sf, False).select("district", "unit", "month", "y", "forecast"))
 
 
 @query("model_gbt_exotic")
 def model_gbt_exotic(spark, sf):
-    return _tree_predictions(spark, sf, True)
+    return show(_tree_predictions(spark, sf, True).select("district", "unit", "month", "y", "forecast"))
+
+
+@query("metrics_trees")
+def metrics_trees(spark, sf):
+    """Accuracy of both boosted models beside the naive one and the fitted linear one."""
+    scored = _tree_predictions(spark, sf, False).withColumnRenamed("forecast", "m3")
+    wide = _tree_predictions(spark, sf, True).select("district", "unit", "month", F.col("forecast").alias("m4"))
+    scored = scored.join(wide, ["district", "unit", "month"])
+    scored = stages.with_forecasts(scored, _fitted(spark, sf), ORDERS.alpha)
+    return reports.metrics_by_model(stages.durable(scored), {f"M{i}": f"m{i}" for i in range(5)}, str(ORDERS.test_year))
 
 
 @query("gbt_importance")
 def gbt_importance(spark, sf):
-    _, _, model = _tree_rows(spark, sf, False)
-    return show(reports.largest(model.importance(spark), 15, "importance", ["feature"]))
+    _, table, numeric = _tree_table(spark, sf, False)
+    return show(reports.largest(_trees(spark, sf, False, table, numeric).importance(spark), 15, "importance", ["feature"]))
 
 
 @query("forecast_gbt")
 def forecast_gbt(spark, sf):
-    dense, _, model = _tree_rows(spark, sf, False)
-    return show(forecast.forecast_trees(dense, model, ORDERS.rules))
+    dense, table, numeric = _tree_table(spark, sf, False)
+    return show(forecast.forecast_trees(dense, _trees(spark, sf, False, table, numeric), ORDERS.rules))
 
 
 @query("forecast_gbt_exotic")
 def forecast_gbt_exotic(spark, sf):
-    dense, _, model = _tree_rows(spark, sf, True)
-    return show(
-        forecast.forecast_trees(dense, model, ORDERS.rules, extended=True, epoch_year=ORDERS.epoch_year)
-    )
+    dense, table, numeric = _tree_table(spark, sf, True)
+    model = _trees(spark, sf, True, table, numeric)
+    return show(forecast.forecast_trees(dense, model, ORDERS.rules, extended=True, epoch_year=ORDERS.epoch_year))
+
+
+_FOLD = "CAST('0x' || substr(md5(district || '|' || unit), 1, 6) AS INTEGER) % 5"
+
+
+@query(
+    "target_means",
+    f"""WITH {q.DENSE}, rows AS (SELECT district, {_FOLD} AS fold, y FROM dense WHERE year(month) <= {ORDERS.last_train_year}),
+        m AS (SELECT avg(y) AS overall FROM rows), t AS (SELECT district, sum(y) AS s, count(*) AS n FROM rows GROUP BY 1),
+        p AS (SELECT district, fold, sum(y) AS s, count(*) AS n FROM rows GROUP BY 1, 2)
+        SELECT t.district, CAST(f.fold AS INTEGER) AS fold,
+               {q.rnd("(t.s - coalesce(p.s, 0) + 20e0 * m.overall) / (t.n - coalesce(p.n, 0) + 20e0)")} AS district_level
+        FROM t CROSS JOIN range(5) f(fold) CROSS JOIN m LEFT JOIN p ON p.district = t.district AND p.fold = f.fold""",
+)
+def target_means(spark, sf):
+    """The out-of-fold means that stand for districts in the boosted models."""
+    rows = stages.durable(stages.dense_panel(spark, sf).filter(split.in_years(last=ORDERS.last_train_year)))
+    overall = rows.agg(F.avg("y")).first()[0]
+    return show(trees.fold_levels(rows, "district", overall, ["district", "unit"]))
 
 
 # --- cube -----------------------------------------------------------------

@@ -7,9 +7,9 @@ folder all executors share.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,42 +17,59 @@ from panelcast import AREA, KEYS, TARGET, TIME
 from panelcast.functions.numeric import half_even
 from panelcast.models import blend, forecast, ridge, trees
 from panelcast.operators import cube, extended, features, panel, profile, reports, split
-from panelcast.plans.stages import Setup, following_months, full_features, with_forecasts
+from panelcast.plans.stages import Setup, full_features, with_forecasts
 from panelcast.session import durable
 from panelcast.sources import sinks
+from panelcast.sources.records import clean_keys
 
 
 def prepare(records: DataFrame, root: str, setup: Setup, grid: str = "observed") -> None:
-    """Records to the dense panel, the feature table and the summaries."""
+    """Records to the dense panel, the feature table and the summaries.
+
+    Raw records are read once: typed and with clean names they are written, and all else
+    starts from there.
+    """
     spark = records.sparkSession
+    clean_keys(records).write.mode("overwrite").parquet(f"{root}/records")
+    records = spark.read.parquet(f"{root}/records")
     panel.monthly_counts(records).write.mode("overwrite").parquet(f"{root}/sparse")
     sparse = spark.read.parquet(f"{root}/sparse")
     sinks.write_by_year(panel.zero_fill(sparse, grid=grid), f"{root}/panel")
-    dense = spark.read.parquet(f"{root}/panel").drop("year")
+    dense = sinks.read_by_year(spark, f"{root}/panel")
     sinks.write_by_year(full_features(dense, setup), f"{root}/features")
-    table = spark.read.parquet(f"{root}/features").drop("year")
+    table = sinks.read_by_year(spark, f"{root}/features")
     split.assert_no_leakage(split.drop_warmup(table), setup.last_train_year, setup.test_year)
     sinks.write_json(split.split_summary(table, setup.last_train_year, setup.test_year), f"{root}/summary/split")
     sinks.write_json(panel.sparsity(sparse, dense), f"{root}/summary/sparsity")
     sinks.write_json(profile.summary(records), f"{root}/summary/records")
 
 
-def _parts(spark: SparkSession, root: str, setup: Setup) -> tuple[DataFrame, DataFrame]:
-    table = spark.read.parquet(f"{root}/features").drop("year")
-    ready = extended.zero_nulls(split.drop_warmup(table), extended.NUMERIC_FEATURES)
-    train = ready.filter(split.in_years(last=setup.last_train_year))
-    test = ready.filter(split.in_years(first=setup.test_year, last=setup.test_year))
-    return train, test
+def _part(spark: SparkSession, root: str, first: int | None, last: int | None) -> DataFrame:
+    table = sinks.read_by_year(spark, f"{root}/features", first, last)
+    return extended.zero_nulls(split.drop_warmup(table), extended.NUMERIC_FEATURES)
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the metrics table that were written to their end, oldest first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{root}/metrics")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [status.getPath() for status in files.listStatus(folder)]
+    return sorted(p.toString() for p in found if files.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def read_metrics(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(_versions(spark, root)[-1])
 
 
 def store_metrics(new: DataFrame, root: str) -> None:
-    """Upsert into the metrics table; the merged rows are safe before the old table is replaced."""
+    """Upsert into the metrics table by writing its next version; readers take the newest whole one."""
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(f"{root}/metrics")
-    except AnalysisException:
-        old = new.limit(0)
-    durable(reports.upsert_metrics(old, new)).write.mode("overwrite").parquet(f"{root}/metrics")
+    versions = _versions(spark, root)
+    old = spark.read.parquet(versions[-1]) if versions else new.limit(0)
+    reports.upsert_metrics(old, new).write.parquet(f"{root}/metrics/{len(versions):08d}-{uuid.uuid4().hex}")
 
 
 def train(
@@ -67,9 +84,10 @@ def train(
     The weight of the blend and the number of trees are chosen on the last
     training year, not on the test year. Returns the extended tree model.
     """
-    train_rows, test_rows = _parts(spark, root, setup)
-    earlier = train_rows.filter(split.in_years(last=setup.last_train_year - 1))
-    last = train_rows.filter(split.in_years(first=setup.last_train_year, last=setup.last_train_year))
+    train_rows = _part(spark, root, None, setup.last_train_year)
+    test_rows = _part(spark, root, setup.test_year, setup.test_year)
+    earlier = _part(spark, root, None, setup.last_train_year - 1)
+    last = _part(spark, root, setup.last_train_year, setup.last_train_year)
     trial = with_forecasts(last, ridge.fit_ridge(earlier), setup.alpha)
     alpha = blend.best_alpha(blend.alpha_curve(trial, "m0", "m1")).first()["alpha"]
     linear = ridge.fit_ridge(train_rows)
@@ -89,20 +107,21 @@ def train(
     return wide
 
 
-def predict(spark: SparkSession, root: str, setup: Setup, model: trees.TreeModel, horizon: int = forecast.HORIZON) -> None:
-    """Forecast beyond the history with the extended trees. Only recent years are read."""
-    dense = spark.read.parquet(f"{root}/panel")
-    newest = dense.agg(F.max("year")).first()[0]
-    recent = dense.filter(F.col("year") >= newest - 2).drop("year")
+def predict(
+    spark: SparkSession, root: str, setup: Setup, model: trees.TreeModel | None = None, horizon: int = forecast.HORIZON
+) -> None:
+    """Forecast beyond the history with the extended trees, by default those that :func:`train` stored."""
+    model = model or trees.TreeModel.load(spark, f"{root}/models/trees_extended")
+    dense = sinks.read_by_year(spark, f"{root}/panel")
     rules = replace(setup.rules, flag_years=())
-    ahead = forecast.forecast_trees(recent, model, rules, horizon, extended=True, epoch_year=setup.epoch_year)
+    ahead = forecast.forecast_trees(dense, model, rules, horizon, extended=True, epoch_year=setup.epoch_year)
     ahead.write.mode("overwrite").parquet(f"{root}/forecast")
 
 
 def publish(spark: SparkSession, root: str, setup: Setup) -> None:
     """Accuracy tables, indicators, the cube and its documents."""
     predictions = spark.read.parquet(f"{root}/predictions")
-    dense = spark.read.parquet(f"{root}/panel").drop("year").select(*KEYS, TIME, TARGET, AREA)
+    dense = sinks.read_by_year(spark, f"{root}/panel").select(*KEYS, TIME, TARGET, AREA)
     ahead = spark.read.parquet(f"{root}/forecast")
     best = "trees_extended"
     summary = reports.segment_summary(predictions, best)
@@ -114,7 +133,8 @@ def publish(spark: SparkSession, root: str, setup: Setup) -> None:
     sinks.write_json(reports.holdout_metrics(predictions, best), f"{root}/report/holdout")
     sinks.write_json(cube.hierarchy_documents(dense), f"{root}/report/hierarchy")
     until = dense.agg(F.max(TIME)).first()[0]
-    first, last = following_months(until, forecast.HORIZON)
+    # The forecast table says how far it reaches.
+    first, last = ahead.agg(F.min(TIME), F.max(TIME)).first()
     tested = predictions.select(*KEYS, TIME, half_even(F.col(best), 0).cast("long").alias("forecast"))
     months = (split.month_date(setup.test_year, 1), split.month_date(setup.test_year, 12))
     table = cube.forecast_cube(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import half_even
-from panelcast.models import blend, forecast, naive, ridge, trees
+from panelcast.models import blend, forecast, naive, ridge
 from panelcast.operators import cube, extended, features, panel, reports, split
 from panelcast.session import durable, tune_for_wide_tables
 from panelcast.sources import tables
@@ -38,14 +38,9 @@ ORDERS = Setup(
     test_year=2000,
     epoch_year=1995,
     rules=features.CalendarRules(flag_years=(1998, 1999), flag_area="O"),
-    cube_first_year=1996,
+    cube_first_year=1995,
 )
 
-# Trees for the catalogue: fewer and shallower than the defaults of the models,
-# so that a check on one machine ends in reasonable time.
-CATALOGUE_TREES = trees.TreeParams(trees=20, rate=0.1, depth=5, row_share=0.8, feature_share=0.8)
-
-
 def sparse_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return durable(panel.monthly_counts(tables.order_records(spark, sf_dir)))
 

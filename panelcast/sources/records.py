@@ -55,18 +55,22 @@ def read_fields(
     spark: SparkSession,
     path: str | list[str],
     columns: list[str],
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV rows as text columns named ``columns``; over-long rows are dropped.
 
     The first line of every file is a header and is skipped. Spark flags rows
     with a wrong number of fields by handing over the raw line; among these only
-    the over-long ones go. ``DROPMALFORMED`` would drop short rows too.
+    the over-long ones go. ``DROPMALFORMED`` would drop short rows too. Quoted
+    fields may hold line ends; where none do, ``multi_line=False`` lets large files
+    be split among tasks.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, RAW_LINE]])
     rows = (
         spark.read.schema(schema)
         .option("header", True)
+        # Names of columns that are not read may be missing from a header.
+        .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", RAW_LINE)
         .option("multiLine", multi_line)
@@ -79,28 +83,41 @@ def read_fields(
     # data column in every scan, as a scan of the raw line alone is not allowed.
     unflagged = -F.length(F.coalesce(F.col(columns[0]), F.lit("")))
     fields = F.when(F.col(RAW_LINE).isNotNull(), _field_count(F.col(RAW_LINE))).otherwise(unflagged)
-    return rows.withColumn("_file", F.col("_metadata.file_name")).filter(fields <= len(columns)).drop(RAW_LINE)
+    return rows.filter(fields <= len(columns)).drop(RAW_LINE)
 
 
-def header_of(spark: SparkSession, path: str | list[str], mark: str | None, without: tuple[str, ...]) -> list[str] | None:
-    """Column names in the first line of a layout's first file; None when no file matches.
+def headers_of(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """File path to the column names in its first line, for every file.
 
-    Reads one line per layout, so the order of columns may differ between layouts.
+    The first block of a file is read by one task from its start, so the first row
+    that an aggregate meets there is the header. One short row per file is collected.
     """
-    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_name"))
-    first_block = F.col("_metadata.file_block_start") == 0
-    chosen = lines.filter(first_block).filter(_layout_filter(mark, without)).limit(1).drop("_file")
-    first = chosen.collect()
-    if not first:
-        return None
-    return [name.strip().strip('"').lstrip("﻿") for name in first[0][0].split(",")]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.first("value").alias("header"))
+    return {
+        row.file: [name.strip().strip('"').lstrip("\ufeff").strip('"') for name in row.header.split(",")]
+        for row in first.collect()
+    }
+
+
+def layout_of(file: str) -> str:
+    """The layout that a file's name selects."""
+    name = file.rsplit("/", 1)[-1]
+    return "legacy" if LEGACY_MARK in name else "renamed" if RENAMED_MARK in name else "standard"
 
 
-def _layout_filter(mark: str | None, without: tuple[str, ...]) -> Column:
-    chosen = F.lit(True) if mark is None else F.col("_file").contains(mark)
-    for other in without:
-        chosen = chosen & ~F.col("_file").contains(other)
-    return chosen
+def _columns(layout: str, header: list[str], files: list[str]) -> list[str]:
+    """Columns of a file by its own header; an unknown header is an error, not a loss of rows."""
+    needed = [c for c in STANDARD_COLUMNS if c not in ("AREA", "AREA_ACAO", "PROC_STATUS", "VALOR_CAUSA")]
+    back = {old: new for new, old in RENAMED_COLUMNS.items()}
+    needed = [*[back.get(c, c) for c in needed], back["AREA"]] if layout == "renamed" else list(STANDARD_COLUMNS)
+    missing = [c for c in needed if c not in header]
+    if missing:
+        raise ValueError(f"{', '.join(sorted(files))}: the header lacks {', '.join(missing)}")
+    # The legacy file's rows have one field more than its header names.
+    return [*header, LEGACY_EXTRA] if layout == "legacy" and LEGACY_EXTRA not in header else header
 
 
 def to_record(raw: DataFrame, parse: str = "short") -> DataFrame:
@@ -114,13 +131,13 @@ def to_record(raw: DataFrame, parse: str = "short") -> DataFrame:
     return raw.select(*columns).filter(F.col("received_at").isNotNull())
 
 
-def legacy_record(raw: DataFrame) -> DataFrame:
+def legacy_record(raw: DataFrame, parse: str = "short") -> DataFrame:
     """Thirteen-field layout: repeated header rows and the extra field go."""
     rows = raw.filter(~F.col("NUMERO").eqNullSafe("NUMERO"))
-    return to_record(rows.drop(LEGACY_EXTRA))
+    return to_record(rows.drop(LEGACY_EXTRA), parse)
 
 
-def renamed_record(raw: DataFrame) -> DataFrame:
+def renamed_record(raw: DataFrame, parse: str = "short") -> DataFrame:
     """Renamed layout: old names restored, fields it no longer carries filled.
 
     Columns of the new layout that keep a standard name but are not taken from
@@ -135,31 +152,27 @@ def renamed_record(raw: DataFrame) -> DataFrame:
                 "AREA_ACAO": F.col("AREA"),
                 "VALOR_CAUSA": F.lit(None).cast("string"),
             }
-        )
+        ),
+        parse,
     )
 
 
-def read_records(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """All files under ``path``, each through the layout its name selects, as one table.
+def read_records(spark: SparkSession, path: str | list[str], multi_line: bool = True, parse: str = "short") -> DataFrame:
+    """All files under ``path``, each by its own header and the layout its name selects, as one table.
 
-    The layout test is a filter on file metadata, so every file is scanned by
-    one layout only.
+    Files that share layout and header are one scan, so there are as many scans as
+    kinds of files. Nothing is cleaned yet: see :func:`clean_keys`.
     """
-    legacy_columns = [*STANDARD_COLUMNS, LEGACY_EXTRA]
-    layouts = (
-        (LEGACY_MARK, (), lambda found: legacy_columns, legacy_record),
-        (RENAMED_MARK, (LEGACY_MARK,), lambda found: found, renamed_record),
-        (None, (LEGACY_MARK, RENAMED_MARK), lambda found: found, to_record),
-    )
-    parts = []
-    for mark, without, columns_for, normalise in layouts:
-        found = header_of(spark, path, mark, without)
-        if found is None:
-            continue
-        raw = read_fields(spark, path, columns_for(found), multi_line)
-        parts.append(normalise(raw.filter(_layout_filter(mark, without)).drop("_file")))
-    if not parts:
+    kinds: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for file, header in headers_of(spark, path).items():
+        kinds.setdefault((layout_of(file), tuple(header)), []).append(file)
+    if not kinds:
         raise FileNotFoundError(f"no record files under {path}")
+    normalise = {"legacy": legacy_record, "renamed": renamed_record, "standard": to_record}
+    parts = []
+    for (layout, header), files in sorted(kinds.items()):
+        raw = read_fields(spark, sorted(files), _columns(layout, list(header), files), multi_line)
+        parts.append(normalise[layout](raw, parse))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
@@ -178,12 +191,9 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns}).dropna(subset=columns)
 
 
-def profile_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The profiling loader: all files by the standard layout, day-first dates, year and month added."""
-    columns = header_of(spark, path, None, ()) or list(STANDARD_COLUMNS)
-    raw = read_fields(spark, path, columns).drop("_file")
-    records = to_record(raw, parse="day_first")
-    return records.withColumns(
+def profile_records(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """The profiling loader: every row of all files, day-first dates, year and month added."""
+    return read_records(spark, path, multi_line, "day_first").withColumns(
         {
             "year": F.year("received_at"),
             "month_no": F.month("received_at"),

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast import TIME
+from panelcast import KEYS, TIME
 
+# Files per year: enough for parallel writes and scans, not one per task.
+FILES_PER_YEAR = 16
 
-def write_by_year(df: DataFrame, path: str, time: str = TIME) -> None:
-    """Parquet partitioned by year, so year filters prune whole folders."""
-    df.withColumn("year", F.year(time)).write.mode("overwrite").partitionBy("year").parquet(path)
+
+def write_by_year(df: DataFrame, path: str, time: str = TIME, keys=KEYS, files: int = FILES_PER_YEAR) -> None:
+    """Parquet partitioned by year, so year filters prune whole folders.
+
+    Rows are dealt out by year and a bucket of the series first: a year has at most
+    ``files`` files, whatever the number of tasks.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(files))
+    dated = df.withColumn("year", F.year(time)).withColumn("_bucket", bucket)
+    dealt = dated.repartition("year", "_bucket").drop("_bucket")
+    dealt.write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def read_by_year(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """A table of :func:`write_by_year`; only the folders of the years from ``first`` to ``last`` are opened."""
+    df = spark.read.parquet(path)
+    if first is not None:
+        df = df.filter(F.col("year") >= first)
+    if last is not None:
+        df = df.filter(F.col("year") <= last)
+    return df.drop("year")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -23,5 +43,5 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_cube(cube_documents: DataFrame, path: str) -> None:
-    """One JSON document per outer segment in two folders, ``bucket=1`` and ``bucket=2``."""
+    """One JSON document per member (segment and unit) in two folders, ``bucket=1`` and ``bucket=2``."""
     cube_documents.write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", False).json(path)

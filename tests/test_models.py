@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import column, month, panel, series
-from panelcast.functions import metrics, numeric
+from panelcast.functions import metrics, numeric, text
 from panelcast.models import blend, forecast, naive, ridge, trees
 from panelcast.operators import extended, features, reports, split
 
@@ -108,7 +108,14 @@ def test_accuracy_classes(spark):
 
 def test_histogram_of_equal_residuals(spark):
     df = spark.createDataFrame([(3, 1.0), (4, 2.0)], "y long, p double")
-    assert [tuple(r) for r in reports.residual_histogram(df, "p").collect()] == [(1, 2)]
+    rows = [tuple(r) for r in reports.residual_histogram(df, "p").orderBy("bin").collect()]
+    assert len(rows) == reports.RESIDUAL_BINS
+    assert rows[0] == (1, 2.0, 2.0, 2) and all(r[3] == 0 for r in rows[1:])
+
+
+def test_title_case(spark):
+    df = spark.createDataFrame([("SANT'ANA DO-RIO",), ("são joão 2a",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.title_case(F.col("t"))).collect()] == ["Sant'Ana Do-Rio", "São João 2A", "", None]
 
 
 def test_category_align(spark):
@@ -164,11 +171,43 @@ def test_trees_beat_nothing_and_keep_unseen_rows(spark, table):
     assert model.importance(spark).agg(F.sum("importance")).first()[0] == pytest.approx(1)
 
 
-def test_wide_categories_are_encoded_by_a_join(spark, table):
-    model = trees.fit_trees(table, features.BASE_FEATURES, params=SMALL_TREES, max_categories=3)
-    assert list(model.encodings) == ["unit"]
-    unseen = table.limit(2).withColumn("unit", F.lit("never seen"))
-    assert model.predict(unseen).filter(F.col("forecast").isNotNull()).count() == 2
+def test_categories_are_means_of_other_folds(spark):
+    rows = [("a", f"u{i % 7}", float(i % 5)) for i in range(60)] + [("b", "u1", 9.0)]
+    df = spark.createDataFrame(rows, "district string, unit string, y double").withColumn("fold", trees.fold_of(["district", "unit"]))
+    found = {(r["district"], r["fold"]): r["district_level"] for r in trees.fold_levels(df, "district", 2.0, ["district", "unit"]).collect()}
+    assert len(found) == 2 * trees.FOLDS
+    for (district, fold), level in found.items():
+        rest = [r["y"] for r in df.collect() if r["district"] == district and r["fold"] != fold]
+        assert level == pytest.approx((sum(rest) + trees.SMOOTHING * 2.0) / (len(rest) + trees.SMOOTHING))
+
+
+def test_patience():
+    assert trees.first_minimum([5, 4, 4, 3, 9, 9, 9], 3) == (3, True)
+    assert trees.first_minimum([5, 4, 4, 3, 9, 9], 3) == (3, False)
+    assert trees.first_minimum([5, 6, 6, 1], 2) == (0, True)
+
+
+@pytest.fixture(scope="module")
+def signal(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(900):
+        a, b = rng.uniform(0, 6, 2)
+        rows.append((float(a), float(b), f"d{i % 9}", f"u{i % 4}", float(3 * np.sin(a) * b + i % 9 + rng.normal(0, 0.3)), i % 3 == 0))
+    return spark.createDataFrame(rows, "a double, b double, district string, unit string, y double, held boolean")
+
+
+def test_boosting_goes_on_while_it_helps(spark, signal, tmp_path):
+    """More trees than one are kept, new categories in validation do not matter, a stored model predicts alike."""
+    params = trees.TreeParams(trees=120, rate=0.05, depth=4, min_rows=3, patience=30)
+    held = signal.filter("held").withColumn("district", F.when(F.col("a") > 5, F.lit("new")).otherwise(F.col("district")))
+    model = trees.fit_trees(signal.filter("not held"), ["a", "b"], params=params, validation=held)
+    assert model.regressor.getNumTrees > 30
+    model.save(str(tmp_path / "m"))
+    loaded = trees.TreeModel.load(spark, str(tmp_path / "m"))
+    assert loaded.inputs == model.inputs
+    both = [sorted(round(r["forecast"], 9) for r in m.predict(held).select("forecast").collect()) for m in (model, loaded)]
+    assert both[0] == both[1]
 
 
 @pytest.mark.parametrize("wide", [False, True])

@@ -1,5 +1,7 @@
 """The four steps on the smallest tables, each from what the one before wrote."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from conftest import SMALL
 from panelcast.models.trees import TreeParams
 from panelcast.operators import cube
 from panelcast.plans import run, stages
+from panelcast.sources import sinks
 from panelcast.sources.tables import order_records
 
 FEW = TreeParams(trees=4, rate=0.3, depth=3)
@@ -16,22 +19,27 @@ FEW = TreeParams(trees=4, rate=0.3, depth=3)
 def root(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("run"))
     run.prepare(order_records(spark, SMALL), path, stages.ORDERS)
-    model = run.train(spark, path, stages.ORDERS, FEW, FEW)
-    run.predict(spark, path, stages.ORDERS, model, horizon=2)
+    run.train(spark, path, stages.ORDERS, FEW, FEW)
+    run.predict(spark, path, stages.ORDERS, horizon=2)
     run.publish(spark, path, stages.ORDERS)
     return path
 
 
 def test_metrics_are_upserted(spark, root):
-    before = spark.read.parquet(f"{root}/metrics")
+    before = run.read_metrics(spark, root)
     assert before.count() == 5
     run.store_metrics(before.filter(F.col("model") == "M4").withColumn("mae", F.lit(1.0)), root)
-    spark.catalog.refreshByPath(f"{root}/metrics")
-    after = spark.read.parquet(f"{root}/metrics")
+    after = run.read_metrics(spark, root)
     assert after.count() == 5
     assert after.filter(F.col("model") == "M4").first()["mae"] == 1.0
 
 
+def test_year_filters_prune_folders(spark, root):
+    plan = sinks.read_by_year(spark, f"{root}/features", 1999, 1999)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert len(list(Path(f"{root}/panel/year=1999").glob("*.parquet"))) <= sinks.FILES_PER_YEAR
+
+
 def test_tables(spark, root):
     series = spark.read.parquet(f"{root}/panel").select("district", "unit").distinct().count()
     assert spark.read.parquet(f"{root}/forecast").count() == series * 2

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.functions import dates
+from panelcast.plans import run, stages
 from panelcast.sources import records, sinks
 
 STANDARD = list(records.STANDARD_COLUMNS)
@@ -62,6 +63,41 @@ def test_all_layouts_together(spark, tmp_path):
     assert {(r["case_id"], str(r["received_at"])) for r in got.collect()} == {("1", "2017-03-05"), ("2", "2020-12-31")}
 
 
+def test_every_file_by_its_own_header(spark, tmp_path):
+    write(tmp_path / "cases_2020.csv", STANDARD, [row("1"), row("2")])
+    write(tmp_path / "cases_2021.csv", list(reversed(STANDARD)), [list(reversed(row("3")))])
+    write(tmp_path / "cases_2022.csv", STANDARD, [row("4")])
+    got = records.read_records(spark, str(tmp_path))
+    assert {(r["case_id"], str(r["received_at"]), r["value"]) for r in got.collect()} == {(c, "2017-03-05", 1.5) for c in "1234"}
+
+
+def test_unknown_header_is_an_error(spark, tmp_path):
+    write(tmp_path / "cases_2020.csv", ["NUMERO", "OTHER"], [["1", "2"]])
+    with pytest.raises(ValueError, match="COMARCA"):
+        records.read_records(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_quoted_line_ends(spark, tmp_path, multi_line):
+    subject = '"first\nsecond, part"' if multi_line else '"first second, part"'
+    write(tmp_path / "cases_2020.csv", STANDARD, [row("1", ASSUNTOS=subject), row("2")])
+    got = {r["case_id"]: r for r in records.read_records(spark, str(tmp_path), multi_line=multi_line).collect()}
+    assert set(got) == {"1", "2"} and got["1"]["area"] == "x" and got["1"]["value"] == 1.5
+    assert got["1"]["subjects"] == subject.strip('"')
+
+
+def test_files_to_panel_keep_every_case(spark, tmp_path):
+    months = [f"05/{m:02d}/{y:02d}" for y in (18, 19, 20) for m in range(1, 13)]
+    body = [row(str(i), d, COMARCA=name, SERVENTIA="u") for i, d in enumerate(months) for name in ("Abc", "ABC ", "\tabc")]
+    write(tmp_path / "cases_2014_2016.csv", STANDARD, [[*r, ""] for r in body[:30]])
+    write(tmp_path / "cases_2019.csv", list(reversed(STANDARD)), [list(reversed(r)) for r in body[30:]])
+    setup = stages.Setup(last_train_year=2019, test_year=2020, epoch_year=2018)
+    run.prepare(records.read_records(spark, str(tmp_path)), str(tmp_path / "run"), setup)
+    panel = sinks.read_by_year(spark, str(tmp_path / "run/panel"))
+    assert {(r["district"], r["unit"]) for r in panel.collect()} == {("ABC", "u")}
+    assert panel.agg(F.sum("y")).first()[0] == len(body)
+
+
 def test_no_files(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     with pytest.raises(FileNotFoundError):
@@ -86,8 +122,10 @@ def test_dates(spark):
 
 def test_profile_loader(spark, tmp_path):
     write(tmp_path / "cases_2020.csv", STANDARD, [row("1", "31/12/2020"), row("2", "01/02/20")])
+    write(tmp_path / "cases_2014_2016.csv", STANDARD, [[*row("3", "01/03/15"), ""]])
+    write(tmp_path / "cases_2021.csv", list(reversed(STANDARD)), [list(reversed(row("4", "01/04/21")))])
     got = records.profile_records(spark, str(tmp_path))
-    assert {(r["year"], r["month_no"]) for r in got.collect()} == {(2020, 12), (2020, 2)}
+    assert {(r["year"], r["month_no"]) for r in got.collect()} == {(2020, 12), (2020, 2), (2015, 3), (2021, 4)}
 
 
 def test_coerce_numeric(spark):
@@ -96,7 +134,8 @@ def test_coerce_numeric(spark):
 
 
 def test_yearly_partitions(spark, tmp_path):
-    df = spark.createDataFrame([(dt.date(2020, 1, 1), 1), (dt.date(2021, 1, 1), 2)], "month date, y int")
+    rows = [(dt.date(2020, 1, 1), "d", "u", 1), (dt.date(2021, 1, 1), "d", "u", 2)]
+    df = spark.createDataFrame(rows, "month date, district string, unit string, y int")
     sinks.write_by_year(df, str(tmp_path / "t"))
     assert {p.name for p in (tmp_path / "t").glob("year=*")} == {"year=2020", "year=2021"}
 
