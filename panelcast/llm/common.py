@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -34,19 +35,27 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and continue from the files.
 
-    The result keeps no lineage: a lost executor costs a read, not a recomputation. Spark deletes
-    the shuffle files of finished jobs when the driver has collected their plans, so it is asked to.
+    The result keeps no lineage: a lost executor costs a read, not a recomputation.
     """
     spark = df.sparkSession
     path = new_folder(spark, what)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted before the next large shuffle is written.
+
+    Spark deletes them once the driver has collected the plans that made them: Python lets go
+    of its references first, and what the first collection uncovers goes with the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def prefix_sums(blocks: DataFrame, order: str, value: str, into: str, groups: list[str] | None = None) -> DataFrame:
     """Add the sum of ``value`` over the rows before each row.
 

@@ -15,7 +15,7 @@ refined and sorted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,8 @@ LENGTH = 100
 GRAM = 40
 SLICE_BYTES = 1 << 19
 #: Entries that a task gathers before it deals them out, and packs per shuffle partition.
-GATHER = 1 << 20
-PACKS = 8
+GATHER = 1 << 19
+PACKS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
@@ -123,7 +123,10 @@ class Suffixes:
         return found > 1
 
 
-_ENTRY = [("name", "<u8"), ("around", "<u8"), ("id", "<i8"), ("text", "<u4"), ("first", "<u4"), ("last", "<u4")]
+#: What is known of a run: see :meth:`Suffixes.runs`. ``text`` tells texts of one key apart. On
+#: the way, 48 bits of ``around`` are kept, and ``last`` is counted from ``first``.
+_ENTRY = [("name", "<u8"), ("around", "<u8"), ("id", "<i8"), ("text", "<u2"), ("first", "<u4"), ("last", "<u4")]
+_AROUND_BYTES = 6
 _COLUMNS = [name for name, _ in _ENTRY]
 
 
@@ -151,17 +154,36 @@ def _packed(entries: dict[str, np.ndarray], packs: int) -> pa.RecordBatch | None
         return None
     ends = np.append(starts[1:], len(pack)).tolist()
     columns = {"pack": pa.array(pack[starts].astype(np.int32)), "kind": pa.array(np.zeros(len(starts), dtype=np.int32))}
-    for name, kind in _ENTRY:
-        values = entries[name][order].astype(kind)
-        columns[name] = pa.array([values[a:b].tobytes() for a, b in zip(starts.tolist(), ends)], pa.binary())
+    entries = {c: v[order] for c, v in entries.items()}
+    for name, _ in _ENTRY:
+        columns[name] = pa.array([_bytes(entries, name, slice(a, b)) for a, b in zip(starts.tolist(), ends)], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _bytes(entries: dict[str, np.ndarray], name: str, part: slice) -> bytes:
+    values = entries[name][part]
+    if name == "around":
+        return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_AROUND_BYTES].tobytes()
+    if name == "last":
+        return (values - entries["first"][part]).astype(np.uint8).tobytes()
+    return values.astype(dict(_ENTRY)[name]).tobytes()
+
+
+def _unpacked(rows: list[dict]) -> dict[str, np.ndarray]:
+    data = {n: b"".join(r[n] for r in rows) for n in _COLUMNS}
+    found = {n: np.frombuffer(data[n], dtype=k) for n, k in _ENTRY if n not in ("around", "last")}
+    around = np.zeros((len(found["name"]), 8), dtype=np.uint8)
+    around[:, :_AROUND_BYTES] = np.frombuffer(data["around"], dtype=np.uint8).reshape(-1, _AROUND_BYTES)
+    found["around"] = around.view("<u8").ravel()
+    found["last"] = found["first"] + np.frombuffer(data["last"], dtype=np.uint8)
+    return found
+
+
 def _packed_spans(entries: dict[str, np.ndarray], pack: int) -> pa.RecordBatch:
     """Repeats that are already known travel along in a pack of their own."""
     columns = {"pack": pa.array([pack], pa.int32()), "kind": pa.array([1], pa.int32())}
-    for name, kind in _ENTRY:
-        columns[name] = pa.array([entries[name].astype(kind).tobytes()], pa.binary())
+    for name in _COLUMNS:
+        columns[name] = pa.array([_bytes(entries, name, slice(None))], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
@@ -197,18 +219,15 @@ class _Gatherer:
 def _by_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]]:
     """Entries and known repeats of each pack; packs arrive one after another."""
 
-    def unpacked(rows: list[dict]) -> dict[str, np.ndarray]:
-        return {n: np.frombuffer(b"".join(r[n] for r in rows), dtype=k) for n, k in _ENTRY}
-
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
             if held and held[0]["pack"] != row["pack"]:
-                yield unpacked([r for r in held if r["kind"] == 0]), unpacked([r for r in held if r["kind"] == 1])
+                yield _unpacked([r for r in held if r["kind"] == 0]), _unpacked([r for r in held if r["kind"] == 1])
                 held = []
             held.append(row)
     if held:
-        yield unpacked([r for r in held if r["kind"] == 0]), unpacked([r for r in held if r["kind"] == 1])
+        yield _unpacked([r for r in held if r["kind"] == 0]), _unpacked([r for r in held if r["kind"] == 1])
 
 
 def _rows(entries: dict[str, np.ndarray], open_: np.ndarray) -> pa.RecordBatch:
@@ -258,7 +277,7 @@ def _windows_as_rows(part: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _text_names(flat: Flat) -> np.ndarray:
-    return (flat.hashes(flat.bounds[:-1], flat.bounds[1:]) >> np.uint64(32)).astype(np.uint32)
+    return (flat.hashes(flat.bounds[:-1], flat.bounds[1:]) >> np.uint64(48)).astype(np.uint16)
 
 
 def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
@@ -289,8 +308,12 @@ def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
             )
         yield from out.flush()
 
-    dealt = docs.mapInArrow(deal, _PACK_SCHEMA).repartition("pack").sortWithinPartitions("pack")
-    found = common.stored(dealt.mapInArrow(_resolve_runs, _FOUND_SCHEMA), "runs")
+    def resolved(entries: DataFrame, by: Callable, what: str) -> DataFrame:
+        dealt = entries.repartition("pack").sortWithinPartitions("pack")
+        return common.stored(dealt.mapInArrow(by, _FOUND_SCHEMA), what)
+
+    found = resolved(docs.mapInArrow(deal, _PACK_SCHEMA), _resolve_runs, "runs")
+    common.free_shuffles(spark)
 
     span = F.collect_list(F.struct("text", "first", "last")).alias("spans")
     opened = found.where("open").groupBy("id").agg(span)
@@ -322,8 +345,8 @@ def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
         yield from out.flush()
 
     columns = texts.select("id", F.col("text").alias("content"), "spans")
-    dealt = columns.mapInArrow(window, _PACK_SCHEMA).repartition("pack").sortWithinPartitions("pack")
-    windows = common.stored(dealt.mapInArrow(_resolve_windows, _FOUND_SCHEMA), "windows")
+    windows = resolved(columns.mapInArrow(window, _PACK_SCHEMA), _resolve_windows, "windows")
+    common.free_shuffles(spark)
     return found.where("not open").unionByName(windows).drop("open")
 
 
