@@ -19,6 +19,27 @@ def test_has_rows(name, spark, sf):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def _keys(df):
+    return sorted((r["district"], r["unit"], r["month"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("suffix", ["", "_exotic"])
+def test_tree_queries_cover_the_holdout_and_the_horizon(suffix, spark, sf):
+    """Keys and actual values are those of the naive model's rows, forecasts those of its recursion."""
+    scored, naive = QUERIES[f"model_gbt{suffix}"](spark, sf), QUERIES["model_m0"](spark, sf)
+    assert _keys(scored) == _keys(naive)
+    assert scored.agg({"y": "sum"}).first()[0] == naive.agg({"y": "sum"}).first()[0]
+    assert scored.where("forecast is null or forecast < 0").count() == 0
+    ahead = QUERIES[f"forecast_gbt{suffix}"](spark, sf)
+    assert _keys(ahead) == _keys(QUERIES["forecast_naive"](spark, sf))
+
+
+def test_boosted_models_beat_the_naive_one(spark, sf):
+    errors = {r["model"]: r["wmape"] for r in QUERIES["metrics_trees"](spark, sf).collect()}
+    assert errors["M3"] < errors["M0"] and errors["M4"] < errors["M0"]
+    assert QUERIES["gbt_importance"](spark, sf).count() == 15
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
