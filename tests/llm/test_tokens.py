@@ -1,5 +1,6 @@
 """Token codes and packing against direct encoding."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -28,6 +29,18 @@ def test_cached_encoding_is_direct_encoding(name, spaces):
         assert [tokens.ids(p).tolist() for p in encoder.encode(texts)] == [tokens.ids(p).tolist() for p in encoder.direct(texts)]
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_cached_encoding_of_random_texts(name, spaces):
+    rng = random.Random(1)
+    alphabet = [*"abcXYZ\u00e9\u00c9\u00df\u0130\u03c3\u03010 12 .,'\u2019!\n\n  \t\r-_\u00b2\u00bd\u6f22#(<|>)"]
+    alphabet += ["\n\n", "  ", " the", " The,", "'s", "n't ", "\xa0", "\x1c"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(8000)]
+    encoder = tokens.encoder(public_tokenizers.path(name), spaces)
+    for start in range(0, len(texts), 1000):
+        some = texts[start : start + 1000]
+        assert encoder.encode(some) == encoder.direct(some)
+
+
 @pytest.mark.parametrize("top", [1, 255, 256, 50_000, 2**24, 2**32 - 1])
 def test_codes_round_trip_and_random_access(top):
     rng = np.random.default_rng(top)
