@@ -19,8 +19,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters, or unlike all languages, go."""
     identifier = op3_language.fit(docs.where(~op3_language.fold()))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    return op3_language.identify(rows, identifier, keep=["row"]).where("not rejected").select("row.*")
+    # Texts go to Python once and do not come back: what is rejected is found by a hash of the row.
+    mark = F.xxhash64("doc_id", "text")
+    rows = docs.select(mark.alias("mark"), "text")
+    gone = op3_language.identify(rows, identifier, keep=["mark"]).where("rejected").select("mark").distinct()
+    gone = common.stored(gone, "rejected")
+    return docs.withColumn("_mark", mark).join(gone, F.col("_mark") == gone["mark"], "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,7 +179,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     times = F.sequence(F.lit(1), F.col("full").cast("int"))
     whole = mixed.where("full > 0 and size > 0").select("_row", F.explode(times)).select("_row.*")
     partial = mixed.where("taken > full * size").select("_row", "size", "begin", "blocks", "extra", "turn")
-    partial = partial.withColumn("_text", F.col(f"_row.`{text}`"))
+    rest = F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in columns if c != text]).alias("_row")
+    partial = partial.select(rest, F.col(f"_row.`{text}`").alias("_text"), "size", "begin", "blocks", "extra", "turn")
     word = re.compile(common.WORD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
