@@ -4,7 +4,8 @@ Both public tokenizers cut a text at white space before they merge anything, so
 two cuts has the same ids anywhere, and so have the letters before closing marks. Most words
 of a corpus are repetitions: their ids come from a dictionary. New ones go through the tokenizer
 many at a time, joined to one text whose ids show where a word ends. Texts with white space
-other than blank, tab and line ends are encoded as a whole.
+other than blank, tab and line ends, or with the name of a special token, which stands for that
+token, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -55,8 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The names of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces = spaces
         self.cut = _WORD_WITH_SPACE if spaces else _WORD
         self.cache: dict[str, bytes] = {}
@@ -73,10 +73,14 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def names_added(self, text: str) -> bool:
+        """Whether the text holds a special token by name. Their case counts."""
+        return any(name in text for name in self.added)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t) or self.names_added(t)]
         whole = dict(zip(odd, self.direct([texts[i] for i in odd]))) if odd else {}
         cut = self.cut.findall
         words = [[] if i in whole else cut(t) for i, t in enumerate(texts)]
@@ -97,6 +101,7 @@ class Encoder:
         """Ids of words that the cache lacks. Case is folded by the tokenizer that drops white space."""
         if not self.spaces:
             folded = {w: w.lower() for w in words if w.isascii() and not w.islower()}
+            folded = {w: low for w, low in folded.items() if not self.names_added(low)}
             new = words.difference(folded).union(folded.values()).difference(self.cache)
         else:
             folded, new = {}, words
