@@ -1,9 +1,9 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words.
+"""Mixing sources to target weights by Sainte-Lague apportionment of words.
 
 A source's texts are put in a seeded order, cut into shards of the order, and each shard into
-blocks of equally many words. Blocks are the seats: highest quotients give every source, then
-every shard of it, an integer quota. A shard takes all its blocks so often as they fit in, and
-a seeded choice of them once more.
+blocks of words. Words are the seats: highest quotients give every source, then every shard of
+it, an integer quota. A shard takes all its words so often as they fit in, and of a seeded order
+of its blocks the first ones once more; the last of these is cut where the quota ends.
 """
 
 from __future__ import annotations
@@ -90,8 +90,9 @@ def mix(
 
     ``size``: words of the text (null: 0). ``source_size`` and ``target``: of the row's source.
     ``taken``: words taken, repeats counted, at most three times the size. ``full``: how often
-    the whole text is taken; ``begin``, ``blocks``, ``extra``, ``turn``: its place in its shard,
-    which of the shard's blocks are taken once more (see :func:`chosen`).
+    the whole text is taken; ``begin``, ``words``, ``extra``, ``turn``: its place in its shard,
+    the shard's words, which of them are taken once more (see :func:`chosen`). A source takes its
+    target but for rounding to a whole word.
 
     Sources are ordered by code point, the null source last, and weigh ``weights`` in turn. The
     list of sources is what a mixing recipe spells out, so their totals (one row each) are on
@@ -109,8 +110,7 @@ def mix(
     totals = sorted(((r._source, r.n) for r in totals), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in totals]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    caps = [-(-MAX_REPEATS * n // block_words) for n in sizes]
-    seats = apportion(goals, caps, round(sum(goals) / block_words))
+    seats = apportion(goals, [MAX_REPEATS * n for n in sizes], round(sum(goals)))
     recipe = [
         (name, n, goal, quota, min(SHARDS, max(1, -(-n // SHARD_WORDS))))
         for (name, n), goal, quota in zip(totals, goals, seats)
@@ -126,7 +126,7 @@ def mix(
     def share(source_rows: pd.DataFrame) -> pd.DataFrame:
         source_rows = source_rows.sort_values("_shard")
         words = source_rows["words"].to_list()
-        caps = [MAX_REPEATS * -(-n // block_words) for n in words]
+        caps = [MAX_REPEATS * n for n in words]
         return source_rows.assign(_seats=apportion(words, caps, int(source_rows["_quota"].iloc[0])))
 
     shards = placed.groupBy(*group, "_quota").agg(F.sum("size").alias("words"))
@@ -137,33 +137,44 @@ def mix(
     begun = placed.withColumn("begin", F.coalesce(F.sum("size").over(along), F.lit(0)))
     same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_n"))
     begun = begun.join(shards, same)
-    blocks = F.ceil(F.col("words") / F.lit(block_words)).cast("long")
-    begun = begun.withColumn("blocks", F.greatest(blocks, F.lit(1)))
+    blocks = F.greatest(F.ceil(F.col("words") / F.lit(block_words)).cast("long"), F.lit(1))
     begun = begun.withColumns(
         {
-            "full": F.expr("_seats div blocks"),
-            "extra": F.expr("_seats % blocks"),
-            "turn": F.pmod(F.xxhash64("_source", "_shard", F.lit(seed)), F.col("blocks")),
+            "full": F.expr("_seats div greatest(words, 1)"),
+            "extra": F.expr("_seats % greatest(words, 1)"),
+            "_blocks": blocks,
+            "turn": F.pmod(F.xxhash64("_source", "_shard", F.lit(seed)), blocks),
         }
     )
-    step = f"if(blocks % {STEPS[0]} = 0, {STEPS[1]}, {STEPS[0]})"
-    overlap = f"least(begin + size, (b + 1) * {block_words}) - greatest(begin, b * {block_words})"
+    step = f"if(_blocks % {STEPS[0]} = 0, {STEPS[1]}, {STEPS[0]})"
+    begun = begun.withColumn("_last", F.expr(f"pmod((_blocks - 1) * {step} + turn, _blocks)"))
+    # As in chosen(): words of block b before the end of the choice, less those before the text.
+    at = f"pmod(b * {step} + turn, _blocks)"
+    rank = f"{at} * {block_words} - if({at} > _last, _blocks * {block_words} - words, 0)"
+    stop = f"least(begin + size, (b + 1) * {block_words}, b * {block_words} + extra - ({rank}))"
+    overlap = f"greatest({stop} - greatest(begin, b * {block_words}), 0L)"
     partly = F.expr(
-        f"aggregate(sequence(begin div {block_words}, (begin + size - 1) div {block_words}), 0L, "
-        f"(sum, b) -> sum + if(pmod(b * {step} + turn, blocks) < extra, {overlap}, 0L))"
+        f"aggregate(sequence(begin div {block_words}, (begin + size - 1) div {block_words}), 0L, (sum, b) -> sum + {overlap})"
     )
     partly = F.when((F.col("size") > 0) & (F.col("extra") > 0), partly).otherwise(F.lit(0))
     taken = (F.col("full") * F.col("size") + partly).cast("long")
     return begun.withColumn("taken", taken).select(
-        "_kept.*", "size", "source_size", "target", "taken", "full", "begin", "blocks", "extra", "turn"
+        "_kept.*", "size", "source_size", "target", "taken", "full", "begin", "words", "extra", "turn"
     )
 
 
-def chosen(begin: int, size: int, blocks: int, extra: int, turn: int, block_words: int = BLOCK_WORDS) -> np.ndarray:
-    """Which words of a text lie in blocks that are taken once more."""
-    block = (begin + np.arange(size, dtype=np.int64)) // block_words
+def chosen(begin: int, size: int, words: int, extra: int, turn: int, block_words: int = BLOCK_WORDS) -> np.ndarray:
+    """Which words of a text are among the ``extra`` ones that its shard of ``words`` takes once more.
+
+    Blocks are put in a seeded order, the last one of the shard may be short; the first ``extra`` words are taken.
+    """
+    blocks = max(1, -(-words // block_words))
     step = STEPS[1] if blocks % STEPS[0] == 0 else STEPS[0]
-    return (block * step + turn) % blocks < extra
+    place = begin + np.arange(size, dtype=np.int64)
+    order = (place // block_words * step + turn) % blocks
+    last = ((blocks - 1) * step + turn) % blocks
+    rank = order * block_words + place % block_words - np.where(order > last, blocks * block_words - words, 0)
+    return rank < extra
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars") -> DataFrame:
@@ -178,14 +189,14 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     mixed = mix(rows, ["_row"], source, text, key)
     times = F.sequence(F.lit(1), F.col("full").cast("int"))
     whole = mixed.where("full > 0 and size > 0").select("_row", F.explode(times)).select("_row.*")
-    partial = mixed.where("taken > full * size").select("_row", "size", "begin", "blocks", "extra", "turn")
+    partial = mixed.where("taken > full * size").select("_row", "size", "begin", "words", "extra", "turn")
     rest = F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in columns if c != text]).alias("_row")
-    partial = partial.select(rest, F.col(f"_row.`{text}`").alias("_text"), "size", "begin", "blocks", "extra", "turn")
+    partial = partial.select(rest, F.col(f"_row.`{text}`").alias("_text"), "size", "begin", "words", "extra", "turn")
     word = re.compile(common.WORD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "_text"):
-            numbers = [common.values(batch, name).to_pylist() for name in ("begin", "size", "blocks", "extra", "turn")]
+            numbers = [common.values(batch, name).to_pylist() for name in ("begin", "size", "words", "extra", "turn")]
             texts = []
             for content, *place in zip(common.values(batch, "_text").to_pylist(), *numbers):
                 take = chosen(*place)
