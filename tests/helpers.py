@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+#: Tables of the whole runs.
+SMALL = "/root/testdata/sf0.001"
+
 PANEL = "district string, unit string, month date, y long, area_mode string"
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from helpers import SMALL
 from panelcast.models.trees import TreeParams
 from panelcast.operators import cube
 from panelcast.plans import run, stages
