@@ -14,7 +14,6 @@ from panelcast.llm import op1_token_codes, op7_packing, tokens
 
 def direct(name, text, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
