@@ -17,6 +17,9 @@ from panelcast.llm import (
     op8_chat,
     op9_classifier,
     op10_quality,
+    op11_merkle,
+    op12_alignment,
+    op13_toxicity,
 )
 
 MODULES = {
@@ -30,6 +33,9 @@ MODULES = {
     "op8_chat_format": op8_chat,
     "op9_quality_classifier": op9_classifier,
     "op10_quality_rules": op10_quality,
+    "op11_merkle_manifest": op11_merkle,
+    "op12_token_alignment": op12_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: m.query for name, m in MODULES.items()}

@@ -49,24 +49,27 @@ def ids(packed: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """``spaces``: white space before a word belongs to its ids; otherwise it is dropped and case is folded."""
+    """``spaces``: white space before a word belongs to its ids; otherwise it is dropped and case is folded.
+    ``names``: the name of a special token in a text is that token, else it is plain text. ``remembered``: words kept."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, names: bool = True, remembered: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = not names
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()] if names else []
+        self.remembered = remembered
         self.spaces = spaces
         self.cut = _WORD_WITH_SPACE if spaces else _WORD
         self.cache: dict[str, bytes] = {}
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
+        spelled = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(spelled.values()) + 1, dtype=bool)
         self.opens = np.zeros(len(self.closes), dtype=bool)
-        for name, number in names.items():
+        for name, number in spelled.items():
             self.closes[number] = name.endswith("</w>")
             self.opens[number] = name.startswith("\u0120")  # how byte-level vocabularies write a blank
-        self.line_end = names.get("\u010a", -1)
+        self.line_end = spelled.get("\u010a", -1)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the tokenizer, little-endian unsigned 32-bit."""
@@ -78,7 +81,7 @@ class Encoder:
         return any(name in text for name in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.remembered:
             self.cache.clear()
         odd = [i for i, t in enumerate(texts) if _ODD.search(t) or self.names_added(t)]
         whole = dict(zip(odd, self.direct([texts[i] for i in odd]))) if odd else {}
