@@ -118,7 +118,7 @@ def build(docs: DataFrame, path: str, tampered: Column) -> None:
     """Write the manifest of ``docs``: ``path/leaves``, and ``path/nodes`` with the levels above them.
 
     A node has its number, its parent's, its place among the siblings (``slot``), the ``run`` of its children's
-    digests, its own ``digest``, and says whether it is a subroot. ``tampered`` marks rows whose ``changed`` leaf
+    digests, its own ``digest``, and says whether it is a subroot, and one of the lowest in its tree. ``tampered`` marks rows whose ``changed`` leaf
     is taken from the lowered text.
 
     Leaves of a source ascend by ``doc_id``, nulls first, ties by leaf; sources by their bytes, null first.
@@ -152,53 +152,62 @@ def build(docs: DataFrame, path: str, tampered: Column) -> None:
     above = _levels(top.drop("_tree"), TOP)
 
     columns = ["node", "parent", "slot", "run", "digest"]
-    inner = [level.where("not ends").select(*columns, F.lit(False).alias("subroot")) for level in own]
-    outer = [
-        level.where("ends").drop("parent", "slot").join(links, F.col("tree") == F.col("_tree")).select(*columns, F.lit(True).alias("subroot"))
-        for level in own
-    ]
-    high = [level.select(*columns, F.lit(False).alias("subroot")) for level in above]
-    nodes = [*inner, *outer, *high]
-    if not nodes:
-        nodes = [spark.createDataFrame([], "node long, parent long, slot int, run binary, digest binary, subroot boolean")]
-    reduce(DataFrame.unionByName, nodes).write.option("compression", "zstd").parquet(f"{path}/nodes")
+    parts = []
+    for height, level in enumerate(own, 1):
+        kept = [F.lit(height == 1).alias("lowest")]
+        parts.append(level.where("not ends").select(*columns, F.lit(False).alias("subroot"), *kept))
+        joined = level.where("ends").drop("parent", "slot").join(links, F.col("tree") == F.col("_tree"))
+        parts.append(joined.select(*columns, F.lit(True).alias("subroot"), *kept))
+    for height, level in enumerate(above, 1):
+        parts.append(level.select(*columns, F.lit(False).alias("subroot"), F.lit(height == 1).alias("lowest")))
+    if not parts:
+        kinds = "node long, parent long, slot int, run binary, digest binary, subroot boolean, lowest boolean"
+        parts = [spark.createDataFrame([], kinds)]
+    reduce(DataFrame.unionByName, parts).write.option("compression", "zstd").parquet(f"{path}/nodes")
 
     columns = ["doc_id", "leaf", "changed", "rank", "parent", "slot"]
-    many = rows.where("size > 1").select("*", *_links(0, 0)).select(*columns, F.lit(False).alias("subroot"))
-    single = rows.where("size = 1").join(links, F.col("tree") == F.col("_tree")).select(*columns, F.lit(True).alias("subroot"))
+    many = rows.where("size > 1").select("*", *_links(0, 0)).select(*columns, F.lit(False).alias("lone"))
+    single = rows.where("size = 1").join(links, F.col("tree") == F.col("_tree")).select(*columns, F.lit(True).alias("lone"))
     many.unionByName(single).write.option("compression", "zstd").parquet(f"{path}/leaves")
 
 
 CLIMB = """
-WITH RECURSIVE climb (rank, doc_id, up, slot, fold, level, siblings, digest, subroot) AS (
-    SELECT rank, doc_id, parent, slot, changed, 0, CAST('' AS BINARY), leaf, subroot FROM {leaves}
+WITH RECURSIVE climb (leaf, node, up, slot, fold, siblings, subroot) AS (
+    SELECT rank, node, parent, slot, changed, siblings, subroot FROM {leaves}
     UNION ALL
-    SELECT c.rank, CAST(NULL AS {kind}), n.parent, n.slot,
-        unhex(sha2(CAST(lower(hex(concat(substring(n.run, 1, {size} * c.slot), c.fold, substring(n.run, {size} * c.slot + {size} + 1)))) AS BINARY), 256)),
-        c.level + 1,
-        concat(substring(n.run, 1, {size} * c.slot), substring(n.run, {size} * c.slot + {size} + 1)),
-        n.digest, n.subroot
+    SELECT c.leaf, c.node, n.parent, n.slot,
+        CASE WHEN c.leaf IS NOT NULL THEN unhex(sha2(CAST(lower(hex(
+            concat(substring(n.run, 1, {size} * c.slot), c.fold, substring(n.run, {size} * c.slot + {size} + 1))
+        )) AS BINARY), 256)) END,
+        concat(c.siblings, substring(n.run, 1, {size} * c.slot), substring(n.run, {size} * c.slot + {size} + 1)),
+        CASE WHEN c.node IS NOT NULL THEN coalesce(c.subroot, CASE WHEN n.subroot THEN n.digest END) END
     FROM climb c JOIN {nodes} n ON c.up = n.node
 )
-SELECT * FROM climb
+SELECT leaf, node, fold, siblings, subroot FROM climb WHERE up IS NULL
 """
 
 
 def climb(spark: SparkSession, path: str) -> DataFrame:
-    """One row per leaf and level, from the leaf (level 0) to the root.
+    """Where every leaf and every lowest run of leaves arrives at the root.
 
-    ``fold`` is the changed leaf folded so far, ``siblings`` the digests beside the node below, ``digest``
-    what was built on this level. A recursive query joins all leaves with their parents, level by level;
-    its number of rows is not limited, so it is run and written under a setting of its own.
+    Each step of a recursive query joins all climbers with their parents: a changed leaf is folded into its
+    parent's run, a run appends the siblings beside it. What stands above a run is the same for its
+    sixteen leaves, so the run carries it for them. The query's number of rows is
+    not limited; it is run and written under a setting of its own.
     """
     names = {what: f"{what}_{uuid.uuid4().hex}" for what in ("leaves", "nodes")}
-    for what, name in names.items():
-        spark.read.parquet(f"{path}/{what}").createOrReplaceTempView(name)
-    kind = spark.table(names["leaves"]).schema["doc_id"].dataType.simpleString()
+    nodes = spark.read.parquet(f"{path}/nodes")
+    nodes.createOrReplaceTempView(names["nodes"])
+    runs = nodes.where("lowest").select(
+        F.lit(None).cast("long").alias("rank"), "node", "parent", "slot", F.lit(None).cast("binary").alias("changed"),
+        F.lit(b"").alias("siblings"), F.when(F.col("subroot"), F.col("digest")).alias("subroot"),
+    )
+    leaves = spark.read.parquet(f"{path}/leaves").select("rank", "changed", "parent", "slot")
+    leaves.unionByName(runs, allowMissingColumns=True).createOrReplaceTempView(names["leaves"])
     before = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
-        return common.stored(spark.sql(CLIMB.format(kind=kind, size=DIGEST, **names)), "climb")
+        return common.stored(spark.sql(CLIMB.format(size=DIGEST, **names)), "climb")
     finally:
         spark.conf.set(ROW_LIMIT, before)
         for name in names.values():
@@ -207,25 +216,30 @@ def climb(spark: SparkSession, path: str) -> DataFrame:
 
 def proofs(spark: SparkSession, path: str) -> DataFrame:
     """Per leaf: its digests and its proof, folded, and whether the changed leaf still leads to the root."""
-    steps = climb(spark, path)
-    # A leaf has one row per level.
-    rows = steps.groupBy("rank").agg(
-        F.sort_array(F.collect_list(F.struct("level", "doc_id", "fold", "siblings", "digest", "subroot"))).alias("steps")
-    )
-    first, last = F.col("steps")[0], F.element_at("steps", -1)
-    proof = F.array_join(F.transform("steps", lambda s: F.lower(F.hex(s["siblings"]))), "")
+    arrived = climb(spark, path)
+    nodes, leaves = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/leaves")
+    high = arrived.where("node is not null").select("node", "siblings", F.col("subroot").alias("above"))
+    runs = nodes.where("lowest").select("node", "run").join(high, "node")
+    folds = arrived.where("leaf is not null").select(F.col("leaf").alias("rank"), "fold")
+    # One row: the node without a parent. A single leaf is its own subroot and root.
+    root = nodes.where("parent is null").select(F.col("digest").alias("top"))
+    rows = leaves.drop("changed").join(folds, "rank").join(runs, F.col("parent") == F.col("node"), "left")
+    rows = rows.join(F.broadcast(root.limit(1)), F.lit(True), "left")
+    beside = [F.expr(f"substring(run, 1, {DIGEST} * slot)"), F.expr(f"substring(run, {DIGEST} * slot + {DIGEST} + 1)")]
+    proof = F.coalesce(F.concat(*beside, "siblings"), F.lit(b""))
+    top = F.coalesce("top", "leaf")
 
     def text(value: Column) -> Column:
         return F.lower(F.hex(value))
 
     return rows.select(
-        first["doc_id"].alias("doc_id"),
-        text(first["digest"]).alias("leaf"),
-        text(F.filter("steps", lambda s: s["subroot"])[0]["digest"]).alias("subroot"),
-        text(last["digest"]).alias("root"),
-        F.sha2(proof.cast("binary"), 256).alias("proof_sha256"),
-        text(last["fold"]).alias("folded_root"),
-        (last["fold"] == last["digest"]).alias("verified"),
+        "doc_id",
+        text(F.col("leaf")).alias("leaf"),
+        text(F.when(F.col("lone"), F.col("leaf")).otherwise(F.col("above"))).alias("subroot"),
+        text(top).alias("root"),
+        F.sha2(text(proof).cast("binary"), 256).alias("proof_sha256"),
+        text(F.col("fold")).alias("folded_root"),
+        (F.col("fold") == top).alias("verified"),
     )
 
 

@@ -108,7 +108,7 @@ def test_setting_of_the_session_is_kept(spark):
 def test_stored_nodes_name_their_parents(spark, edge, tmp_path):
     op11_merkle.build(edge, str(tmp_path), op11_merkle.fifth())
     nodes = {r.node: r for r in spark.read.parquet(f"{tmp_path}/nodes").collect()}
-    assert sum(r.parent is None for r in nodes.values()) == 1
+    assert sum(r.parent is None for r in nodes.values()) == 1 and all(r.lowest for r in nodes.values())
     assert all(bytes(nodes[r.parent].run)[32 * r.slot : 32 * r.slot + 32] == bytes(r.digest) for r in nodes.values() if r.parent is not None)
 
 
