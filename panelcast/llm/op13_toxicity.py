@@ -273,7 +273,8 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     found = labelled.select(F.col(key).alias("key"), F.col("label").cast("double").alias("label"))
     found = found.where("key is not null and label is not null").groupBy("key").agg(F.avg("label").alias("label"))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.where("key is not null").join(found, "key")
+    # Only texts that may have a label are shuffled, always the same way: a small table of labels is no special case.
+    rows = common.likely(rows.where("key is not null"), "key", found.select("key")).join(found.hint("merge"), "key")
     rest = F.pmod(F.xxhash64("key", F.lit(31)), F.lit(CALIBRATION)) == 0
     known = common.stored(rows.withColumn("rest", rest), "toxic_labels")
     toxic = F.col("label") >= 0.5
@@ -283,11 +284,11 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     # Too few labels to keep some back: the same texts fit and calibrate.
     learned, held = (known.where("not rest"), known.where("rest")) if len(sides) == 4 else (known, known)
     ratios = log_count_ratios(learned)
-    chosen = learned.join(_sampled(learned, sample, 13), "key").select("key", "label", "text")
+    chosen = learned.join(F.broadcast(_sampled(learned, sample, 13)), "key").select("key", "label", "text")
     bags = _Bags(_windows_of(chosen, ratios), ratios)
     weights, bias = _regression(bags)
     model = Model(grid(weights * ratios), bias)
-    held = held.join(_sampled(held, CALIBRATION_SAMPLE, 37), "key")
+    held = held.join(F.broadcast(_sampled(held, CALIBRATION_SAMPLE, 37)), "key")
     raw = score(held, model, key="key", keep=["label"], raw=True).toArrow()
     order = np.lexsort((raw["label"].to_numpy(), raw["score"].to_numpy()))
     labels = (raw["label"].to_numpy() >= 0.5).astype(np.float64)
