@@ -125,7 +125,7 @@ class Suffixes:
 
 #: What is known of a run: see :meth:`Suffixes.runs`. ``text`` tells texts of one key apart. On
 #: the way, 48 bits of ``around`` are kept, and ``last`` is counted from ``first``.
-_ENTRY = [("name", "<u8"), ("around", "<u8"), ("id", "<i8"), ("text", "<u2"), ("first", "<u4"), ("last", "<u4")]
+_ENTRY = [("name", "<u8"), ("around", "<u8"), ("id", "<i8"), ("text", "<u8"), ("first", "<u4"), ("last", "<u4")]
 _AROUND_BYTES = 6
 _COLUMNS = [name for name, _ in _ENTRY]
 
@@ -276,14 +276,15 @@ def _windows_as_rows(part: dict[str, np.ndarray]) -> pa.RecordBatch:
     return _rows(merged, np.zeros(len(start), dtype=bool))
 
 
-def _text_names(flat: Flat) -> np.ndarray:
-    return (flat.hashes(flat.bounds[:-1], flat.bounds[1:]) >> np.uint64(48)).astype(np.uint16)
+def _text_names(batch: pa.RecordBatch) -> np.ndarray:
+    """64-bit names that tell texts of one key apart."""
+    return common.values(batch, "mark").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
 def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
     """``id``, ``text`` (a name of the text) and the ``first`` and ``last`` start of runs of repeated windows.
 
-    ``docs`` has ``id`` (no nulls) and ``text`` (no nulls).
+    ``docs`` has ``id``, ``text`` and ``mark``, a hash of the text (no nulls).
     """
     spark = docs.sparkSession
     packs = packs or PACKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -301,7 +302,7 @@ def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
                     "name": runs["name"],
                     "around": runs["around"],
                     "id": common.values(batch, "id").to_numpy(zero_copy_only=False)[owner],
-                    "text": _text_names(flat)[owner],
+                    "text": _text_names(batch)[owner],
                     "first": runs["first"] - begin,
                     "last": runs["last"] - begin,
                 }
@@ -315,9 +316,8 @@ def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
     found = resolved(docs.mapInArrow(deal, _PACK_SCHEMA), _resolve_runs, "runs")
     common.free_shuffles(spark)
 
-    span = F.collect_list(F.struct("text", "first", "last")).alias("spans")
-    opened = found.where("open").groupBy("id").agg(span)
-    texts = common.likely(docs, "id", found.where("open").select("id")).join(opened, "id")
+    opened = _spans(found.where("open"))
+    texts = common.likely(docs, "mark", found.where("open").select("text")).join(opened, ["id", "mark"])
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Gatherer(packs, ["name"])
@@ -325,10 +325,9 @@ def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
             flat = Flat.of(common.values(batch, "content"))
             suffixes = Suffixes(flat)
             covered = np.zeros(len(suffixes.windows) + 1, dtype=np.int64)
-            row, name, first, last = _flat_spans(batch)
-            mine = name == _text_names(flat)[row]
-            np.add.at(covered, flat.bounds[row[mine]] + first[mine], 1)
-            np.add.at(covered, flat.bounds[row[mine]] + last[mine] + 1, -1)
+            row, first, last = _flat_spans(batch)
+            np.add.at(covered, flat.bounds[row] + first, 1)
+            np.add.at(covered, flat.bounds[row] + last + 1, -1)
             at = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
             owner = np.searchsorted(flat.bounds, at, side="right") - 1
             start = at - flat.bounds[owner]
@@ -337,26 +336,32 @@ def repeats(docs: DataFrame, packs: int | None = None) -> DataFrame:
                     "name": suffixes.windows[at],
                     "around": np.zeros(len(at), dtype=np.uint64),
                     "id": common.values(batch, "id").to_numpy(zero_copy_only=False)[owner],
-                    "text": _text_names(flat)[owner],
+                    "text": _text_names(batch)[owner],
                     "first": start,
                     "last": start,
                 }
             )
         yield from out.flush()
 
-    columns = texts.select("id", F.col("text").alias("content"), "spans")
+    columns = texts.select("id", "mark", F.col("text").alias("content"), "spans")
     windows = resolved(columns.mapInArrow(window, _PACK_SCHEMA), _resolve_windows, "windows")
     common.free_shuffles(spark)
     return found.where("not open").unionByName(windows).drop("open")
 
 
+def _spans(found: DataFrame) -> DataFrame:
+    """The spans of each text: rows that share a key without sharing the text have their own."""
+    spans = F.collect_list(F.struct("first", "last")).alias("spans")
+    return found.groupBy("id", F.col("text").alias("mark")).agg(spans)
+
+
 def _flat_spans(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Row, text name, first and last of all spans of a batch; a null list has none."""
+    """Row, first and last of all spans of a batch; a null list has none."""
     spans = common.values(batch, "spans")
     counts = pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
     values = spans.flatten()
     row = np.repeat(np.arange(batch.num_rows), counts)
-    return row, *[values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+    return row, *[values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)]
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -369,16 +374,14 @@ def remove_repeats(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
     """
     kept = F.struct(*keep).alias("_kept")
     source = docs.select(kept, F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = repeats(source.select("id", "text"))
-    spans = found.groupBy("id").agg(F.collect_list(F.struct("text", "first", "last")).alias("spans"))
-    joined = source.withColumnRenamed("text", "content").join(spans, "id", "left").drop("id")
+    source = source.withColumn("mark", F.xxhash64("text"))
+    spans = _spans(repeats(source.select("id", "mark", "text")))
+    joined = source.withColumnRenamed("text", "content").join(spans, ["id", "mark"], "left").drop("id", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "content"):
             flat = Flat.of(common.values(batch, "content"))
-            row, name, first, last = _flat_spans(batch)
-            mine = name == _text_names(flat)[row]
-            row, first, last = row[mine], first[mine], last[mine]
+            row, first, last = _flat_spans(batch)
             change = np.zeros(len(flat.data) + 1, dtype=np.int64)
             np.add.at(change, flat.bounds[row] + first, 1)
             np.add.at(change, flat.bounds[row] + last + LENGTH, -1)

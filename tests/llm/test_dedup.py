@@ -7,9 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from panelcast.llm import op2_near_dups, op4_repeats, union_find
-from panelcast.llm.flat import Flat
 
 
 def shingles(text, n):
@@ -120,9 +120,7 @@ def brute_repeats(rows, length=100):
 
 
 def _name(text):
-    import pyarrow as pa
-
-    return int(op4_repeats._text_names(Flat.of(pa.array([text or ""])))[0])
+    return xxhash.xxh64((text or "").encode(), seed=42).intdigest()
 
 
 def test_repeats_of_edge_cases(edge):
@@ -167,3 +165,18 @@ def test_large_star_of_hub(spark):
     for r in union_find.components(spark.createDataFrame(edges, "a long, b long")).collect():
         found[r.root] += 1
     assert dict(found) == {0: 400}
+
+
+def sentence(rng, words):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(words))
+
+
+def test_clean_texts_without_keys_keep_their_bytes(spark):
+    """Thousands of texts without a key are told apart: only what repeats goes."""
+    rng = random.Random(9)
+    passage = sentence(rng, 60)
+    rows = [(None, f"{i:05d} {sentence(rng, 12)} {passage}") for i in range(700)] + [(None, f"{i:05d} {sentence(rng, 30)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op4_repeats.remove_repeats(docs, ["text"]).select("text", "n_removed").collect()
+    touched = [r for r in found if r.n_removed]
+    assert len(found) == len(rows) and len(touched) == 699 and all(passage in r.text for r in touched)
