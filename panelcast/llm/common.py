@@ -81,6 +81,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # What the task no longer needs goes back, so idle workers stay small.
+    pa.default_memory_pool().release_unused()
 
 
 def values(batch: pa.RecordBatch, name: str) -> pa.Array:

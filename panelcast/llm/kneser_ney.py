@@ -8,11 +8,14 @@ Characters beyond 16 bits are folded into them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 ORDER = 4
+#: N-grams that are scored at once.
+CHUNK = 1 << 17
 PAD = " " * (ORDER - 1)
 
 
@@ -30,13 +33,38 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of the highest order and where each text's begin; one per character and one for the end."""
-    padded = [PAD + t + " " for t in texts]
+    return _grams([PAD + t + " " for t in texts])
+
+
+def chunks(texts: list[str], size: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Padded pieces of texts that hold about ``size`` n-grams together, and the numbers of their texts."""
+    owners, pieces, held = [], [], 0
+    for i, t in enumerate(texts):
+        padded = PAD + t + " " if len(t) < size else None
+        for start in range(0, len(t) + 1, size):
+            if padded is None:
+                # Each piece brings the characters before it as context.
+                piece = (PAD if not start else "") + t[max(0, start - ORDER + 1) : start + size]
+                piece += " " if start + size > len(t) else ""
+            else:
+                piece = padded
+            owners.append(i)
+            pieces.append(piece)
+            held += len(piece) - ORDER + 1
+            if held >= size:
+                yield owners, pieces
+                owners, pieces, held = [], [], 0
+    if pieces:
+        yield owners, pieces
+
+
+def _grams(padded: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     points = (points ^ ((points >> np.uint64(16)) * np.uint64(40503))) & np.uint64(0xFFFF)
     sizes = np.array([len(t) for t in padded], dtype=np.int64)
     counts = sizes - (ORDER - 1)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    if not len(texts):
+    if not padded:
         return np.zeros(0, dtype=np.uint64), bounds
     joined = np.zeros(max(0, len(points) - ORDER + 1), dtype=np.uint64)
     for k in range(ORDER):
@@ -81,12 +109,16 @@ class Model:
         return out
 
     def cross_entropies(self, texts: list[str]) -> np.ndarray:
-        """Mean negative log-probability per character, by text and language."""
-        keys, bounds = grams(texts)
-        logs = self.log_probabilities(keys)
-        if not len(texts):
-            return np.zeros((0, len(self.languages)))
-        return -np.add.reduceat(logs, bounds[:-1], axis=0, dtype=np.float64) / np.diff(bounds)[:, None]
+        """Mean negative log-probability per character, by text and language.
+
+        N-grams are scored in chunks, so memory does not grow with the length of a text.
+        """
+        total = np.zeros((len(texts), len(self.languages)))
+        for owners, pieces in chunks(texts, CHUNK):
+            keys, bounds = _grams(pieces)
+            logs = self.log_probabilities(keys)
+            np.add.at(total, owners, np.add.reduceat(logs, bounds[:-1], axis=0, dtype=np.float64))
+        return -total / np.array([len(t) + 1 for t in texts], dtype=np.float64)[:, None]
 
 
 def _discount(counts: np.ndarray) -> float:

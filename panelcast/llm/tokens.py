@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 #: Words a process remembers; the cache is emptied when it is full.
-CACHE = 1_000_000
+CACHE = 700_000
 LONGEST = 48
 #: Words that are encoded as one text.
 JOINED = 2000
