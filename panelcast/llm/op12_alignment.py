@@ -47,7 +47,7 @@ MERGED = 256
 #: Records that one task streams back, about.
 SHARE = 1 << 22
 #: Words a process remembers of either tokenizer.
-WORDS = 200_000
+WORDS = 500_000
 SLICE_BYTES = 1 << 20
 
 _LEVEL = 3
@@ -90,8 +90,8 @@ class Pieces:
         ]
         self.cuts = not any(self.BLANK in n.lstrip(self.BLANK) or "\n" in n for n in names)
         # A text that is one blank would be empty to the model.
-        self.alone = {" ": self.direct(["\n"])[0][:4]}
-        self.cache: dict[str, bytes] = dict(self.alone)
+        self.alone = self.direct(["\n"])[0][:4]
+        self.cache: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(x, dtype="<u4").tobytes() for x in self.model.encode(texts, num_threads=1)]
@@ -100,18 +100,24 @@ class Pieces:
         if not self.cuts:
             return self.direct(texts)
         if len(self.cache) > WORDS:
-            self.cache = dict(self.alone)
+            self.cache.clear()
         # The model puts a blank before a text. A text with the mark itself can't be cut.
         whole = {i: self.direct([t])[0] for i, t in enumerate(texts) if self.BLANK in t}
-        words = [[] if i in whole else self._CUT.findall(" " + t) for i, t in enumerate(texts)]
-        every = set(chain.from_iterable(words))
-        new = [w for w in every if w not in self.cache]
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and i not in whole and "  " not in t}
+        rest = {i: self._CUT.findall(" " + t) for i, t in enumerate(texts) if i not in whole and i not in plain}
+        every = set(chain.from_iterable(plain.values()))
+        # What stands between two blanks is written without the first, words with what stands before.
+        cut = {w for w in chain.from_iterable(rest.values()) if w != " "}
+        found = {w: self.cache[w] for w in every if w in self.cache}
+        new = [w for w in every if w not in found]
+        found.update(zip(new, self.direct(new)))
+        self.cache.update((w, found[w]) for w in new if w and len(w) <= tokens.LONGEST)
+        found[""] = self.alone
         # A blank put before a line end is a piece of its own and goes again.
-        found = dict(zip(new, (p if w[0] == " " else p[4:] for w, p in zip(new, self.direct([w[w[0] == " " :] for w in new])))))
-        long = {w: p for w, p in found.items() if len(w) > tokens.LONGEST}
-        self.cache.update((w, p) for w, p in found.items() if w not in long)
-        get = {**{w: self.cache[w] for w in every if w not in long}, **long}.__getitem__ if long else self.cache.__getitem__
-        return [whole[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(words)]
+        words = {w: p if w[0] == " " else p[4:] for w, p in zip(cut, self.direct([w[w[0] == " " :] for w in cut]))}
+        words[" "] = self.alone
+        out = [(found, plain[i]) if i in plain else (words, rest.get(i, [])) for i in range(len(texts))]
+        return [whole[i] if i in whole else b"".join(map(ids.__getitem__, own)) for i, (ids, own) in enumerate(out)]
 
 
 class Vocabulary:
@@ -252,7 +258,10 @@ class Buffer:
 
     def add(self, keys: list, found: Aligned) -> None:
         record = (found.pairs << np.uint64(32)) | (found.texts + len(self.rows)).astype(np.uint64)
-        record, times = np.unique(record, return_counts=True)
+        record = np.sort(record)
+        first = np.flatnonzero(np.concatenate([[True], record[1:] != record[:-1]])) if len(record) else np.zeros(0, dtype=np.int64)
+        times = np.diff(np.append(first, len(record)))
+        record = record[first]
         self.records.append(record)
         self.times.append(times.astype("<u4"))
         self.held += len(record)
