@@ -1,21 +1,23 @@
-"""Gradient-boosted trees on numeric and categorical features, through Spark ML.
+"""Gradient-boosted trees on numeric and categorical features.
 
 Categories enter as smoothed means of the target. A training row gets the mean of the other
 folds' rows, so its own target is not in its features; rows to predict get the mean of all.
-The encoding is the same for any number of values and lives in joined tables.
+The encoding is the same for any number of values and lives in joined tables. Trees grow leaf by leaf
+(:mod:`panelcast.models.leafwise`).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast import KEYS, TARGET
 from panelcast.functions.numeric import not_negative
+from panelcast.models import leafwise
+from panelcast.models.leafwise import Forest
+from panelcast.models.leafwise import Growth as TreeParams
 from panelcast.session import durable
 
 FOLDS = 5
@@ -23,30 +25,13 @@ FOLDS = 5
 SMOOTHING = 20.0
 # One category may hold a third of all rows; its joins are spread over so many keys.
 SALTS = 16
-BINS = 64
-FEATURES = "_features"
-
-
-@dataclass(frozen=True)
-class TreeParams:
-    """Boosting parameters. Spark ML grows trees level by level: there is no leaf
-    limit and no L1/L2 penalty, ``min_rows`` and ``min_gain`` restrain leaves instead.
-    ``patience``: trees to wait for a lower error on the validation rows."""
-
-    trees: int = 300
-    rate: float = 0.05
-    depth: int = 8
-    row_share: float = 0.8
-    feature_share: float = 0.8
-    min_rows: int = 20
-    min_gain: float = 0.0
-    seed: int = 42
-    patience: int = 30
 
 
 # Parameters of the two boosted models.
-BASE_TREES = TreeParams(trees=300, rate=0.05, depth=8, row_share=0.8, feature_share=0.8, patience=30)
-EXTENDED_TREES = TreeParams(trees=400, rate=0.04, depth=10, row_share=0.75, feature_share=0.75, patience=50)
+BASE_TREES = TreeParams(trees=300, rate=0.05, depth=8, leaves=63, row_share=0.8, feature_share=0.8, patience=30)
+EXTENDED_TREES = TreeParams(
+    trees=400, rate=0.04, depth=10, leaves=95, row_share=0.75, feature_share=0.75, l1=0.5, l2=1.0, patience=50
+)
 
 
 def fold_of(keys: list[str]) -> Column:
@@ -84,7 +69,7 @@ def _attach(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 
 @dataclass
 class TreeModel:
-    regressor: GBTRegressionModel
+    forest: Forest
     numeric: list[str]
     categorical: list[str]
     # Column -> (value, mean target) table.
@@ -96,31 +81,30 @@ class TreeModel:
         return [*self.numeric, *[f"{c}_level" for c in self.categorical]]
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        """Add the feature vector; a category that training never saw gets the overall mean."""
+        """Add the categories' means; one that training never saw gets the overall mean."""
         for column, means in self.encodings.items():
             df = _attach(df, means, [column]).fillna({f"{column}_level": self.overall})
-        return VectorAssembler(inputCols=self.inputs, outputCol=FEATURES).transform(df)
+        return df
 
     def predict(self, df: DataFrame, name: str = "forecast") -> DataFrame:
         """Clipped prediction as a new column; categories unseen in training keep their rows."""
-        scored = self.regressor.transform(self.prepare(df))
-        extra = [c for c in scored.columns if c not in df.columns and c != "prediction"]
-        return scored.withColumn(name, not_negative(F.col("prediction"))).drop("prediction", *extra)
+        scored = leafwise.with_prediction(self.prepare(df), self.forest, self.inputs, "_prediction")
+        return scored.select(*df.columns, not_negative(F.col("_prediction")).alias(name))
 
     def importance(self, spark: SparkSession) -> DataFrame:
         """Share of the total gain per feature (as many rows as features)."""
-        weights = self.regressor.featureImportances.toArray()
+        weights = self.forest.gains()
         rows = [(name.removesuffix("_level"), float(weight)) for name, weight in zip(self.inputs, weights)]
         return spark.createDataFrame(rows, "feature string, importance double")
 
     def save(self, path: str) -> None:
         """Trees, encodings and the lists of features; :meth:`load` needs nothing else."""
-        self.regressor.write().overwrite().save(f"{path}/regressor")
         spark = None
         for column, means in self.encodings.items():
             means.write.mode("overwrite").parquet(f"{path}/encoding_{column}")
             spark = means.sparkSession
         spark = spark or SparkSession.active()
+        leafwise.write(spark, self.forest, f"{path}/forest")
         about = [(self.numeric, self.categorical, float(self.overall))]
         schema = "numeric array<string>, categorical array<string>, overall double"
         spark.createDataFrame(about, schema).coalesce(1).write.mode("overwrite").json(f"{path}/about")
@@ -130,8 +114,7 @@ class TreeModel:
         schema = "numeric array<string>, categorical array<string>, overall double"
         about = spark.read.schema(schema).json(f"{path}/about").first()
         encodings = {c: spark.read.parquet(f"{path}/encoding_{c}") for c in about.categorical}
-        regressor = GBTRegressionModel.load(f"{path}/regressor")
-        return cls(regressor, list(about.numeric), list(about.categorical), encodings, about.overall)
+        return cls(leafwise.read(spark, f"{path}/forest"), list(about.numeric), list(about.categorical), encodings, about.overall)
 
 
 def category_dictionary(train: DataFrame, column: str) -> DataFrame:
@@ -149,49 +132,6 @@ def align_categories(df: DataFrame, train: DataFrame, columns: list[str], unknow
     return df
 
 
-def _booster(params: TreeParams, target: str, trees: int) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol=FEATURES,
-        labelCol=target,
-        maxIter=trees,
-        stepSize=params.rate,
-        maxDepth=params.depth,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.feature_share),
-        minInstancesPerNode=params.min_rows,
-        minInfoGain=params.min_gain,
-        maxBins=BINS,
-        cacheNodeIds=False,
-        seed=params.seed,
-    )
-
-
-def first_minimum(errors: list[float], patience: int) -> tuple[int, bool]:
-    """Place of the lowest error before ``patience`` values in a row are no lower, and whether that happened."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best, True
-    return best, False
-
-
-def best_trees(learned: DataFrame, held: DataFrame, params: TreeParams, target: str) -> int:
-    """How many trees to keep, by the error on ``held`` after every tree.
-
-    Trees depend on those before them only, so a shorter run is a prefix of the longest. The
-    runs double in length until the patience ends, or all trees are grown.
-    """
-    trees = min(params.trees, 2 * params.patience)
-    while True:
-        errors = _booster(params, target, trees).fit(learned).evaluateEachIteration(held, "squared")
-        best, ended = first_minimum(errors, params.patience)
-        if ended or trees >= params.trees:
-            return best + 1
-        trees = min(params.trees, 2 * trees)
-
-
 def fit_trees(
     train: DataFrame,
     numeric: list[str],
@@ -203,7 +143,7 @@ def fit_trees(
     """Fit on ``train``. With ``validation`` the number of trees is chosen there, by a model that has
     not seen it; then that many trees are fitted on both.
 
-    The training rows are written once: boosting passes over them many times.
+    The training rows are written once: several passes read them.
     """
     categorical = list(KEYS) if categorical is None else categorical
     needed = [*numeric, *categorical, target]
@@ -216,12 +156,11 @@ def fit_trees(
     for column in categorical:
         learned = _attach(learned, fold_levels(rows, column, overall, categorical, target), [column, "fold"])
         learned = learned.fillna({f"{column}_level": overall})
-    assembled = VectorAssembler(inputCols=model.inputs, outputCol=FEATURES).transform(learned)
-    learned = durable(assembled.select(FEATURES, target))
-    if validation is not None:
-        held = durable(model.prepare(validation.select(*needed)).select(FEATURES, target))
-        trees = best_trees(learned, held, params, target)
-        both = rows.unionByName(validation.select(*needed))
-        return fit_trees(both, numeric, categorical, replace(params, trees=trees), target=target)
-    model.regressor = _booster(params, target, params.trees).fit(learned)
-    return model
+    learned = learned.select(*model.inputs, target)
+    if validation is None:
+        model.forest = leafwise.fit(learned, model.inputs, target, replace(params, patience=params.trees))
+        return model
+    held = model.prepare(validation.select(*needed)).select(*model.inputs, target)
+    kept = len(leafwise.fit(learned, model.inputs, target, params, held).trees)
+    both = rows.unionByName(validation.select(*needed))
+    return fit_trees(both, numeric, categorical, replace(params, trees=kept), target=target)

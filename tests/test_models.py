@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import column, month, panel, series
 from panelcast.functions import metrics, numeric, text
-from panelcast.models import blend, forecast, naive, ridge, trees
+from panelcast.models import blend, forecast, leafwise, naive, ridge, trees
 from panelcast.operators import extended, features, reports, split
 
 
@@ -182,9 +182,9 @@ def test_categories_are_means_of_other_folds(spark):
 
 
 def test_patience():
-    assert trees.first_minimum([5, 4, 4, 3, 9, 9, 9], 3) == (3, True)
-    assert trees.first_minimum([5, 4, 4, 3, 9, 9], 3) == (3, False)
-    assert trees.first_minimum([5, 6, 6, 1], 2) == (0, True)
+    assert leafwise.first_minimum([5, 4, 4, 3, 9, 9, 9], 3) == (3, True)
+    assert leafwise.first_minimum([5, 4, 4, 3, 9, 9], 3) == (3, False)
+    assert leafwise.first_minimum([5, 6, 6, 1], 2) == (0, True)
 
 
 @pytest.fixture(scope="module")
@@ -202,7 +202,7 @@ def test_boosting_goes_on_while_it_helps(spark, signal, tmp_path):
     params = trees.TreeParams(trees=120, rate=0.05, depth=4, min_rows=3, patience=30)
     held = signal.filter("held").withColumn("district", F.when(F.col("a") > 5, F.lit("new")).otherwise(F.col("district")))
     model = trees.fit_trees(signal.filter("not held"), ["a", "b"], params=params, validation=held)
-    assert model.regressor.getNumTrees > 30
+    assert len(model.forest.trees) > 30
     model.save(str(tmp_path / "m"))
     loaded = trees.TreeModel.load(spark, str(tmp_path / "m"))
     assert loaded.inputs == model.inputs
