@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,10 @@ from panelcast.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a task works on at once. Bounds a task's memory, never changes results.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+#: Ways to drop what tasks of a Python worker remember for those after them.
+LEFTOVERS: list[Callable[[], None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +71,16 @@ def prefix_sums(blocks: DataFrame, order: str, value: str, into: str, groups: li
     return blocks.withColumn(into, F.coalesce(before, F.lit(0)).cast("long"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` holds at most ``limit`` bytes, one row at least."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, remember: bool = False
+) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that ``column`` holds at most ``limit`` bytes, one row at least.
+
+    Without ``remember`` the worker first drops what earlier tasks left in it.
+    """
+    if not remember:
+        for drop in LEFTOVERS:
+            drop()
     for batch in batches:
         if batch.num_rows == 0:
             continue

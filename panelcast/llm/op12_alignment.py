@@ -232,6 +232,7 @@ class Aligned:
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
+common.LEFTOVERS.append(_aligners.clear)
 
 
 def aligner(first: str, second: str) -> Aligner:
@@ -317,7 +318,7 @@ def write_runs(docs: DataFrame, key: str, text: str, first: str, second: str, re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, tool = None, aligner(first, second)
-        for batch in common.slices(batches, "text", SLICE_BYTES):
+        for batch in common.slices(batches, "text", SLICE_BYTES, remember=True):
             buffer = buffer or Buffer(common.values(batch, "key").type, records, documents)
             buffer.add(common.values(batch, "key").to_pylist(), tool.align(common.values(batch, "text").to_pylist()))
             if buffer.full:

@@ -121,7 +121,7 @@ def write(
             start, keys, packed, held = start + held, [], [], 0
             return row
 
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", remember=True):
             of = common.values(batch, "key").type
             for own, p in zip(common.values(batch, "key").to_pylist(), encode(common.values(batch, "text").to_pylist())):
                 keys.append(own)

@@ -201,7 +201,7 @@ def pack(
         encode = tokens.encoder(tokenizer, spaces=True).encode
         part, full = TaskContext.get().partitionId(), 0
         rests = np.zeros(window, dtype=np.int64)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", remember=True):
             packed = [p + end for p in encode(common.values(batch, "text").to_pylist())]
             sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
             pieces = -(-sizes // window)

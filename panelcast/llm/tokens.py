@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from panelcast.llm import common
+
 #: Words a process remembers; the cache is emptied when it is full.
 CACHE = 700_000
 LONGEST = 48
@@ -35,6 +37,7 @@ _WORD_WITH_SPACE = re.compile(
 )
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+common.LEFTOVERS.append(_encoders.clear)
 
 
 def encoder(path: str, spaces: bool) -> Encoder:
