@@ -103,7 +103,7 @@ class Pieces:
             self.cache.clear()
         # The model puts a blank before a text. A text with the mark itself can't be cut.
         whole = {i: self.direct([t])[0] for i, t in enumerate(texts) if self.BLANK in t}
-        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and i not in whole and "  " not in t}
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and i not in whole and "  " not in t and t[0] != " "}
         rest = {i: self._CUT.findall(" " + t) for i, t in enumerate(texts) if i not in whole and i not in plain}
         every = set(chain.from_iterable(plain.values()))
         # What stands between two blanks is written without the first, words with what stands before.
