@@ -28,6 +28,28 @@ def count_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: acc + v.isNotNull().cast("long"))
 
 
+def mean(values: Column) -> Column:
+    """Mean of the non-null values, null when there are none."""
+    return F.try_divide(sum_of(values), count_of(values))
+
+
+def deviation(values: Column) -> Column:
+    """Sample deviation of the non-null values, null below two; steps in the order of Spark's own aggregate."""
+
+    def step(acc: Column, v: Column) -> Column:
+        n = acc["n"] + F.lit(1.0)
+        delta = v - acc["mean"]
+        part = delta / n
+        return F.struct(n.alias("n"), (acc["mean"] + part).alias("mean"), (acc["m2"] + delta * (delta - part)).alias("m2"))
+
+    nothing = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def close(acc: Column) -> Column:
+        return F.when(acc["n"] > 1.0, F.sqrt(acc["m2"] / (acc["n"] - 1.0)))
+
+    return F.aggregate(F.filter(values, lambda v: v.isNotNull()), nothing, step, close)
+
+
 def quantile(ascending: Column, q: float) -> Column:
     """Linearly interpolated quantile of a sorted array; null when it is empty."""
     place = (F.size(ascending) - 1) * F.lit(q)

@@ -13,18 +13,13 @@ from pyspark.sql import functions as F
 from panelcast import AREA, KEYS, TARGET, TIME
 from panelcast.functions import arrays
 from panelcast.functions.numeric import half_even, not_negative
+from panelcast.models import leafwise
 from panelcast.models.ridge import SCALE_GUARD, RidgeModel
 from panelcast.models.trees import TreeModel
-from panelcast.operators.extended import EPOCH_YEAR, add_all_features, zero_nulls
-from panelcast.operators.features import (
-    BASE_FEATURES,
-    LAGS,
-    WINDOWS,
-    CalendarRules,
-    add_base_features,
-    area_features,
-)
-from panelcast.operators.panel import series_list, tail
+from panelcast.operators import state
+from panelcast.operators.extended import EPOCH_YEAR
+from panelcast.operators.features import LAGS, WINDOWS, CalendarRules, area_features
+from panelcast.operators.panel import series_list
 from panelcast.session import durable
 
 # Months to forecast.
@@ -152,41 +147,30 @@ def forecast_trees(
     horizon: int = HORIZON,
     extended: bool = False,
     epoch_year: int = EPOCH_YEAR,
-    history_rows: int | None = None,
     keys=KEYS,
     time=TIME,
     target=TARGET,
 ) -> DataFrame:
-    """Boosted-tree recursion: one distributed prediction per month.
+    """Boosted-tree recursion on one state row per series: one distributed prediction per month.
 
-    The state is the panel, with empty rows for the month to predict. Every step
-    builds the features on the whole history, as in training (``history_rows`` limits
-    it to so many last rows per series, which changes features that look further back), predicts the empty rows, and writes the next state to the checkpoint folder,
+    The history is read once, for the states. A month's features come from the states
+    (:mod:`panelcast.operators.state`), equal to those on the whole history, as in training; the
+    categories' means are joined once. Each month writes one table with a row per series,
     so lineage does not grow with the horizon and a lost executor costs one step.
     """
     rules = replace(rules, flag_years=())
-    universe = durable(series_list(panel, keys))
-    last_month = panel.agg(F.max(time)).first()[0]
-
-    def month(i: int) -> Column:
-        return F.add_months(F.lit(last_month), i)
-
-    def open_month(known: DataFrame, i: int) -> DataFrame:
-        empty = universe.select(*keys, month(i).alias(time), F.lit(None).cast("double").alias(target), AREA)
-        return durable(known.unionByName(empty))
-
-    known = panel.select(*keys, time, F.col(target).cast("double").alias(target), AREA)
-    for i in range(1, horizon + 1):
-        state = open_month(known, i)
-        recent = state if history_rows is None else tail(state, history_rows, keys, time)
-        if extended:
-            features = add_all_features(recent, keys, time, target, rules, epoch_year)
-        else:
-            features = zero_nulls(add_base_features(recent, keys, time, target, rules), BASE_FEATURES)
-        predicted = model.predict(features.filter(F.col(time) == month(i)), "_p")
-        filled = predicted.select(*keys, time, F.col("_p").alias(target), AREA)
-        known = state.filter(F.col(time) < month(i)).unionByName(filled)
-    rows = known.filter(F.col(time) > F.lit(last_month))
+    states = model.prepare(state.start(panel, keys, time, target))
+    states = states.withColumn("_made", F.array().cast("array<struct<month:date,value:double>>"))
+    for _ in range(horizon):
+        states = durable(states)
+        known = state.next_features(states, keys, time, rules, epoch_year, extended)
+        scored = leafwise.with_prediction(known, model.forest, model.inputs, "_p")
+        scored = scored.select(*states.columns, not_negative(F.col("_p")).alias("_value"))
+        made = F.struct(F.col(time).alias("month"), F.col("_value").alias("value"))
+        scored = scored.withColumn("_made", F.concat("_made", F.array(made)))
+        states = state.advance(scored, F.col("_value"), time).select(*states.columns)
+    rows = states.select(*keys, F.explode("_made").alias("_made"))
+    value = F.col("_made.value")
     return rows.select(
-        *keys, time, F.col(target).alias("value"), half_even(F.col(target), 0).cast("long").alias("forecast")
+        *keys, F.col("_made.month").alias(time), value.alias("value"), half_even(value, 0).cast("long").alias("forecast")
     )

@@ -247,7 +247,7 @@ def add_rate_of_change_features(
 
 # --- cross-segment means --------------------------------------------------
 
-_CARRIED = ["_outer_sum", "_outer_n", "_tail_sums", "_tail_counts", "_inner_sum", "_inner_n"]
+CARRIED = ["_outer_sum", "_outer_n", "_tail_sums", "_tail_counts", "_inner_sum", "_inner_n"]
 
 
 def carried_means(df: DataFrame, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
@@ -267,11 +267,19 @@ def carried_means(df: DataFrame, keys=KEYS, time=TIME, target=TARGET) -> DataFra
         F.count(target).alias("n"),
         F.transform(arrays.last(recent, CROSS_WINDOW), lambda r: r[target]).alias("tail"),
     )
-    series = durable(series)
+    return durable(carried_from(durable(series), keys))
+
+
+def carried_from(series: DataFrame, keys=KEYS) -> DataFrame:
+    """The same from one row per series: its ``sum``, its number ``n`` of values, its last values as ``tail``.
+
+    ``series`` is read several times.
+    """
+    outer, inner = keys
     by_outer = totals_before(series, [outer], [inner], ["sum", "n"], "tail", CROSS_WINDOW)
     by_inner = totals_before(series, [inner], [outer], ["sum", "n"])
     lengths = F.sequence(F.lit(0), F.lit(CROSS_WINDOW))
-    carried = by_outer.select(
+    return by_outer.select(
         outer,
         inner,
         F.col("before_sum").alias("_outer_sum"),
@@ -285,7 +293,6 @@ def carried_means(df: DataFrame, keys=KEYS, time=TIME, target=TARGET) -> DataFra
         ),
         [outer, inner],
     )
-    return durable(carried)
 
 
 def _mean(total: Column, count: Column) -> Column:
@@ -342,7 +349,7 @@ def add_cross_sectional_features(
     past = SeriesPast(keys, time, target)
     if order == "series":
         joined = df.join(carried_means(df, keys, time, target), [outer, inner])
-        return past.apply(joined, row_order_features(past)).drop(*_CARRIED)
+        return past.apply(joined, row_order_features(past)).drop(*CARRIED)
     if order != "time":
         raise ValueError(f"order must be 'series' or 'time', not {order!r}")
     by_outer = _earlier_months(df, outer, time, target, "_outer")
@@ -416,7 +423,7 @@ def add_all_features(
     }
     if order == "series":
         joined = smoothed.join(carried_means(panel, keys, time, target), list(keys))
-        wide = past.apply(joined, {**features, **row_order_features(past)}).drop(*_CARRIED)
+        wide = past.apply(joined, {**features, **row_order_features(past)}).drop(*CARRIED)
     else:
         wide = add_cross_sectional_features(past.apply(smoothed, features), keys, time, target, order)
     wide = add_recent_anomalies(wide, keys, time)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import dates, text
 from panelcast.models import blend, forecast, ridge, trees
-from panelcast.operators import cube, extended, features, panel, profile, reports, split
+from panelcast.operators import cube, extended, features, panel, profile, reports, split, state
 from panelcast.plans import sql as q
 from panelcast.plans import stages
 from panelcast.plans.stages import ORDERS
@@ -615,6 +615,35 @@ def features_all(spark, sf):
     return show(stages.full_features(stages.dense_panel(spark, sf), fill_nulls=True))
 
 
+# The month to come as a row without value at the end of every series, its area the series' usual one.
+_OPENED = q.DENSE.replace("dense AS (", "closed AS (") + """,
+usual AS (
+  SELECT district, unit, first(area_mode ORDER BY n DESC, area_mode) AS area_mode
+  FROM (SELECT district, unit, area_mode, count(*) AS n FROM closed GROUP BY ALL) GROUP BY district, unit
+),
+dense AS (
+  SELECT * FROM closed
+  UNION ALL
+  SELECT district, unit, CAST((SELECT max(month) FROM closed) + INTERVAL 1 MONTH AS DATE), NULL, area_mode FROM usual
+)"""
+
+
+@query(
+    "next_month_features",
+    f"""WITH RECURSIVE {_OPENED}, {_HOLT},
+        w AS (SELECT *, {q.columns(_WINDOWED)} FROM dense),
+        f AS (SELECT *, {q.columns(_DERIVED)} FROM w)
+        SELECT {_KEYS}, area_mode, {", ".join(_filled(c) for c in [*_WINDOWED, *_DERIVED])},
+               {q.rnd("coalesce(holt_level, 0)")} AS holt_level, {q.rnd("coalesce(holt_slope, 0)")} AS holt_slope
+        FROM f JOIN holt USING (district, unit, month) WHERE month = (SELECT max(month) FROM dense)""",
+)
+def next_month_features(spark, sf):
+    """All features of the month after the last, from one state row per series."""
+    states = stages.durable(state.start(stages.dense_panel(spark, sf)))
+    known = state.next_features(states, rules=ORDERS.rules, epoch_year=ORDERS.epoch_year)
+    return show(known.drop(*state.STATE))
+
+
 # --- split ----------------------------------------------------------------
 
 _BASE_EXACT = (*q.LAG_SQL, *(c for c in _CALENDAR if c not in ("month_sin", "month_cos")))
