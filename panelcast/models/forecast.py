@@ -161,14 +161,15 @@ def forecast_trees(
     rules = replace(rules, flag_years=())
     states = model.prepare(state.start(panel, keys, time, target))
     states = states.withColumn("_made", F.array().cast("array<struct<month:date,value:double>>"))
+    next_month = state.NextMonth(keys, time, rules, epoch_year, extended)
+    columns = states.columns
     for _ in range(horizon):
-        states = durable(states)
-        known = state.next_features(states, keys, time, rules, epoch_year, extended)
+        known = next_month(durable(states))
         scored = leafwise.with_prediction(known, model.forest, model.inputs, "_p")
-        scored = scored.select(*states.columns, not_negative(F.col("_p")).alias("_value"))
+        scored = scored.select(*columns, not_negative(F.col("_p")).alias("_value"))
         made = F.struct(F.col(time).alias("month"), F.col("_value").alias("value"))
         scored = scored.withColumn("_made", F.concat("_made", F.array(made)))
-        states = state.advance(scored, F.col("_value"), time).select(*states.columns)
+        states = state.advance(scored, F.col("_value"), time).select(*columns)
     rows = states.select(*keys, F.explode("_made").alias("_made"))
     value = F.col("_made.value")
     return rows.select(

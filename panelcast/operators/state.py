@@ -133,44 +133,61 @@ def start(panel: DataFrame, keys=KEYS, time=TIME, target=TARGET) -> DataFrame:
     return states.join(series_list(panel, keys), list(keys)).withColumn(time, opened)
 
 
-def next_features(
-    states: DataFrame,
-    keys=KEYS,
-    time=TIME,
-    rules: CalendarRules = CalendarRules(),
-    epoch_year: int = extended.EPOCH_YEAR,
-    wide: bool = True,
-) -> DataFrame:
-    """The states with the features of their month to come, missing ones zero.
+class NextMonth:
+    """Adds the features of the month to come to states, missing ones zero.
 
     They are what ``add_all_features`` (``wide``) or ``add_base_features`` gives for a row without value added at
     the end of every series. Cross-segment means run over the states, one short row per series;
-    ``states`` is read several times for them, so it should be ``durable``.
+    states are read several times for them, so they should be ``durable``. The expressions
+    are put together once and serve every month.
     """
-    past = StatePast(keys, time, "")
-    features = base_features(past, rules)
-    if not wide:
-        return extended.zero_nulls(past.apply(states, features), BASE_FEATURES)
-    # The row to come takes a place among the last rows of its series.
-    tail = arrays.last(F.concat("recent", F.array(F.lit(None).cast("double"))), extended.CROSS_WINDOW)
-    series = states.select(*keys, F.col("total").alias("sum"), F.col("known").alias("n"), tail.alias("tail"))
-    features |= {
-        **extended.fourier_features(time, epoch_year=epoch_year),
-        **extended.quantile_features(past),
-        **extended.trend_features(past),
-        **extended.seasonal_features(past),
-        **extended.volatility_features(past),
-        **extended.change_features(past),
-        **extended.anomaly_features(past),
-        **extended.row_order_features(past),
-        "holt_level": F.col("level"),
-        "holt_slope": F.col("slope"),
-    }
-    joined = states.join(extended.carried_from(series, keys), list(keys))
-    known = past.apply(joined, features).drop(*extended.CARRIED)
-    earlier = F.aggregate("flags", F.lit(0), lambda total, flag: total + flag)
-    known = known.withColumn("anomaly_count_6m", (earlier + F.col("is_anomaly")).cast("long"))
-    return extended.zero_nulls(known, [*extended.NUMERIC_FEATURES, *extended.AUXILIARY_FEATURES])
+
+    def __init__(
+        self,
+        keys=KEYS,
+        time=TIME,
+        rules: CalendarRules = CalendarRules(),
+        epoch_year: int = extended.EPOCH_YEAR,
+        wide: bool = True,
+    ):
+        self.keys, self.wide = list(keys), wide
+        self.past = past = StatePast(keys, time, "")
+        features = base_features(past, rules)
+        if wide:
+            features |= {
+                **extended.fourier_features(time, epoch_year=epoch_year),
+                **extended.quantile_features(past),
+                **extended.trend_features(past),
+                **extended.seasonal_features(past),
+                **extended.volatility_features(past),
+                **extended.change_features(past),
+                **extended.row_order_features(past),
+                "holt_level": F.col("level"),
+                "holt_slope": F.col("slope"),
+            }
+            # One flag per state, beside the measures: its count takes it in.
+            flag = past._measure("flag", _flag(F.col("recent")))
+            earlier = F.aggregate("flags", F.lit(0), lambda total, one: total + one)
+            features |= {"is_anomaly": flag, "anomaly_count_6m": (earlier + flag).cast("long")}
+        names = {*BASE_FEATURES, *(extended.EXTENDED_FEATURES + extended.AUXILIARY_FEATURES if wide else [])}
+        self.features = [(F.coalesce(c, F.lit(0)) if name in names else c).alias(name) for name, c in features.items()]
+        # The row to come takes a place among the last rows of its series.
+        tail = arrays.last(F.concat("recent", F.array(F.lit(None).cast("double"))), extended.CROSS_WINDOW)
+        self.series = [*self.keys, F.col("total").alias("sum"), F.col("known").alias("n"), tail.alias("tail")]
+
+    def __call__(self, states: DataFrame) -> DataFrame:
+        known = states
+        if self.wide:
+            known = states.join(extended.carried_from(states.select(*self.series), self.keys), self.keys)
+        measured = known.withColumns(self.past.measures)
+        if self.past.derived:
+            measured = measured.withColumns(self.past.derived)
+        return measured.select(*states.columns, *self.features)
+
+
+def next_features(states: DataFrame, *args, **kwargs) -> DataFrame:
+    """:class:`NextMonth` for one month."""
+    return NextMonth(*args, **kwargs)(states)
 
 
 def advance(states: DataFrame, value: Column, time=TIME) -> DataFrame:
