@@ -21,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task works on at once. Bounds a task's memory, never changes results.
 SLICE_BYTES = 1 << 20
 
+#: Rows of an Arrow batch between executor and Python worker where a session leaves Spark's default of 10,000.
+BATCH_ROWS = 1024
+
 #: Ways to drop what tasks of a Python worker remember for those after them.
 LEFTOVERS: list[Callable[[], None]] = []
 
@@ -47,6 +50,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have tasks exchange rows with Python in batches of ``BATCH_ROWS``. Results do not depend on it.
+
+    A batch exists several times, in the executor's direct memory and in the worker's, and texts are
+    long. A smaller number set by the session stays.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(setting))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of finished jobs deleted before the next large shuffle is written.
 
