@@ -18,6 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters, or unlike all languages, go."""
+    common.small_batches(spark)
     identifier = op3_language.fit(docs.where(~op3_language.fold()))
     # Texts go to Python once and do not come back: what is rejected is found by a hash of the row.
     mark = F.xxhash64("doc_id", "text")
@@ -32,12 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share an id are one document; documents without an id stay.
     """
+    common.small_batches(spark)
     gone = op2_near_dups.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that stand earlier in the corpus; a text may end up empty."""
+    common.small_batches(spark)
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.select(F.struct(*rest).alias("row"), "doc_id", "text")
     done = op4_repeats.remove_repeats(rows, ["row"]).select("row.*", op4_repeats.readable("kept").alias("text"))
@@ -46,11 +49,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target proportions: documents are repeated, cut or left out as the mix says."""
+    common.small_batches(spark)
     return op6_mixing.mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids and their places in sequences of 1024."""
+    common.small_batches(spark)
     return op7_packing.pack(docs)
 
 
