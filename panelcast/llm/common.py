@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -28,6 +29,10 @@ BATCH_ROWS = 1024
 LEFTOVERS: list[Callable[[], None]] = []
 
 
+#: The C library's way to return freed memory to the system, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,6 +114,8 @@ def slices(
             start = stop
     # What the task no longer needs goes back, so idle workers stay small.
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def values(batch: pa.RecordBatch, name: str) -> pa.Array:
