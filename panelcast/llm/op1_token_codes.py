@@ -123,7 +123,7 @@ def write(
 
         for batch in common.slices(batches, "text", remember=True):
             of = common.values(batch, "key").type
-            for own, p in zip(common.values(batch, "key").to_pylist(), encode(common.values(batch, "text").to_pylist())):
+            for own, p in zip(common.values(batch, "key").to_pylist(), encode(common.values(batch, "text"))):
                 keys.append(own)
                 packed.append(p + end)
                 held += len(p) // 4 + 1
@@ -140,7 +140,10 @@ def write(
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """Key, ``start`` (ids of all documents before), ``n_tokens`` and ``ids`` (little-endian 32-bit) from the files."""
+    """Key, ``start`` (ids of all documents before), ``n_tokens`` and ``ids`` (little-endian 32-bit) from the files.
+
+    ``last_id`` is a document's last id, read alone through the rank directories (null without ids).
+    """
     blocks = spark.read.parquet(f"{path}/blocks")
     manifest = spark.read.parquet(f"{path}/manifest").select("range", "ids_before")
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
@@ -150,25 +153,69 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                chunks, bitmaps = (common.values(row, n).to_pylist()[0] for n in ("chunks", "bitmaps"))
+                chunks, bitmaps, ranks = (common.values(row, n).to_pylist()[0] for n in ("chunks", "bitmaps", "ranks"))
                 whole = unpack(chunks, bitmaps).astype("<u4").tobytes()
                 counts = np.array(common.values(row, "counts").to_pylist()[0], dtype=np.int64)
                 ends = np.cumsum(counts)
                 begin = common.values(row, "start").to_pylist()[0] + ends - counts
                 parts = [whole[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
+                last = [token_at(chunks, bitmaps, ranks, e - 1) if n else None for e, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [common.values(row, "keys").flatten(), pa.array(begin), pa.array(counts), pa.array(parts, pa.binary())],
-                    names=["key", "start", "n_tokens", "ids"],
+                    [
+                        common.values(row, "keys").flatten(), pa.array(begin), pa.array(counts),
+                        pa.array(parts, pa.binary()), pa.array(last, pa.int64()),
+                    ],
+                    names=["key", "start", "n_tokens", "ids", "last_id"],
                 )
 
-    columns = starts.select("start", "keys", "counts", "chunks", "bitmaps")
-    return columns.mapInArrow(run, f"key {kind}, start long, n_tokens long, ids binary").withColumnRenamed("key", key)
+    columns = starts.select("start", "keys", "counts", "chunks", "bitmaps", "ranks")
+    schema = f"key {kind}, start long, n_tokens long, ids binary, last_id long"
+    return columns.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def look_up(wanted: DataFrame, path: str, key: str = "doc_id", place: str = "place") -> DataFrame:
+    """The ids at given places of documents, without decoding any block: (key, place, start, id).
+
+    ``wanted`` names keys and places from 0, a null key included. Repeated wishes are answered once, a place outside its
+    document not at all; documents that share a key are answered each, told apart by ``start``. Keys are
+    found in the blocks' lists of keys alone; then each wish meets its block's codes in one group, which
+    holds at most one wish per id of a block. Extra columns of ``wanted`` are not read.
+    """
+    spark = wanted.sparkSession
+    blocks = spark.read.parquet(f"{path}/blocks")
+    manifest = spark.read.parquet(f"{path}/manifest").select("range", "ids_before")
+    kind = blocks.schema["keys"].dataType.elementType.simpleString()
+    each = blocks.select("range", "start_in_range", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "doc"), "counts")
+    before = F.aggregate(F.slice("counts", 1, F.col("at")), F.lit(0).cast("long"), lambda a, n: a + n)
+    docs = each.select("range", "start_in_range", F.col("doc.keys").alias("key"), F.col("doc.counts").alias("n"), before.alias("before"))
+    wishes = wanted.select(F.col(key).cast(kind).alias("wish"), F.col(place).cast("long").alias("place")).distinct()
+    met = docs.join(wishes, F.col("key").eqNullSafe(F.col("wish")) & (F.col("place") >= 0) & (F.col("place") < F.col("n")))
+    met = met.select("range", "start_in_range", "key", "place", "before")
+
+    def answer(asked: pa.Table, codes: pa.Table) -> pa.Table:
+        places = (np.asarray(asked["before"]) + np.asarray(asked["place"])).tolist()
+        if places:
+            block = [codes[n][0].as_py() for n in ("chunks", "bitmaps", "ranks")]
+            places = [token_at(*block, p) for p in places]
+        found = asked.select(["range", "start_in_range", "key", "place", "before"])
+        return found.append_column("id", pa.array(places, pa.int64()))
+
+    # Read anew: a second reference to the same rows would make the columns of both sides ambiguous.
+    asked_for = met.select(F.col("range").alias("of_range"), F.col("start_in_range").alias("of_start")).distinct()
+    codes = spark.read.parquet(f"{path}/blocks").select("range", "start_in_range", "chunks", "bitmaps", "ranks")
+    same = (F.col("range") == F.col("of_range")) & (F.col("start_in_range") == F.col("of_start"))
+    codes = codes.join(asked_for, same, "left_semi")
+    by = ("range", "start_in_range")
+    schema = f"range int, start_in_range long, key {kind}, place long, before long, id long"
+    found = met.groupBy(*by).cogroup(codes.groupBy(*by)).applyInArrow(answer, schema)
+    start = (F.col("ids_before") + F.col("start_in_range") + F.col("before")).alias("start")
+    return found.join(manifest, "range").select(F.col("key").alias(key), F.col("place").alias(place), start, "id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_folder(spark, "codes")
     write(common.table(spark, sf_dir, "documents"), path)
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "last_id")
 
 
 #: Tokenizers are not expressible in SQL; tests compare with direct encoding.

@@ -202,7 +202,7 @@ def pack(
         part, full = TaskContext.get().partitionId(), 0
         rests = np.zeros(window, dtype=np.int64)
         for batch in common.slices(batches, "text", remember=True):
-            packed = [p + end for p in encode(common.values(batch, "text").to_pylist())]
+            packed = [p + end for p in encode(common.values(batch, "text"))]
             sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
             pieces = -(-sizes // window)
             owner = np.repeat(np.arange(len(packed)), pieces)

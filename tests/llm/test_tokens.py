@@ -6,7 +6,9 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelcast.llm import op1_token_codes, op7_packing, tokens
@@ -40,6 +42,30 @@ def test_cached_encoding_of_random_texts(name, spaces):
         assert encoder.encode(some) == encoder.direct(some)
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_cuts_next_to_letters_beyond_ascii(name, spaces):
+    """Letters known by their first byte, signs among them, marks to be composed, control characters, Hangul, digits."""
+    rng = random.Random(3)
+    alphabet = [*"aWwI\u00c5\u00d7\u00f7\u00ff\u0130\u01c4\u023a\u0416\u0451\u0483\u0391\u0660\u1100\u1161\uac00\ufb01"]
+    alphabet += [*"\u030a\u0307\u0338<=>''19.,-_ \n\t\x00\x1b\x7f", "'s", "\n ", "\r\n", "\U0001f600", "\u212a"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(20_000)]
+    encoder = tokens.Encoder(public_tokenizers.path(name), spaces, remembered=5000)
+    for start in range(0, len(texts), 2000):
+        some = texts[start : start + 2000]
+        assert encoder.encode(some) == encoder.direct(some)
+
+
+def test_very_long_words_do_not_stay():
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = ["ab" * 10, None, "x1" * (tokens.CACHE_BYTES // 4), "ab" * 10]
+    found = encoder.encode(pa.array(texts))
+    assert found[0] == found[3] == encoder.direct(texts[:1])[0] and found[1] == b""
+    assert len(found[2]) == 4 * 2 * (tokens.CACHE_BYTES // 4)
+    letters = "".join(random.Random(1).choices("abcdefgh", k=3000)) * 100
+    encoder.held = tokens.CACHE_BYTES + 1
+    assert encoder.encode([letters]) == encoder.direct([letters]) and len(encoder.cache) == 1
+
+
 @pytest.mark.parametrize("top", [1, 255, 256, 50_000, 2**24, 2**32 - 1])
 def test_codes_round_trip_and_random_access(top):
     rng = np.random.default_rng(top)
@@ -63,9 +89,28 @@ def test_codes_of_edge_cases(edge, spark, tmp_path):
     assert sorted(((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in rows), key=lambda x: x[1]) == expected
 
 
+def test_look_up_of_places(edge, spark, tmp_path):
+    """Every id of every document by key and place, wishes repeated and out of range, a null key."""
+    path = str(tmp_path / "codes")
+    op1_token_codes.write(edge, path, block_ids=100)
+    whole = {r.start: r for r in op1_token_codes.read(spark, path).collect()}
+    assert all(r.last_id == op1_token_codes.END_ID for r in whole.values())
+    wishes = [(r.doc_id, p) for r in whole.values() for p in (-1, 0, r.n_tokens // 2, r.n_tokens - 1, r.n_tokens, 10**9)]
+    wanted = spark.createDataFrame([*wishes, *wishes, (-77, 0), (1, None)], "doc_id long, place long").withColumn("id", F.lit("x"))
+    found = op1_token_codes.look_up(wanted, path).collect()
+    asked = {(key, place) for key, place in wishes}
+    expected = {
+        (r.doc_id, p, r.start, int(np.frombuffer(r.ids, "<u4")[p]))
+        for r in whole.values() for p in range(r.n_tokens) if (r.doc_id, p) in asked
+    }
+    assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+
+
 def test_codes_of_nothing(nothing, spark, tmp_path):
     op1_token_codes.write(nothing, str(tmp_path / "codes"))
     assert op1_token_codes.read(spark, str(tmp_path / "codes")).collect() == []
+    wanted = spark.createDataFrame([(1, 0)], "doc_id long, place long")
+    assert op1_token_codes.look_up(wanted, str(tmp_path / "codes")).collect() == []
 
 
 def check_packing(rows, docs, window):
