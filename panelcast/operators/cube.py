@@ -180,3 +180,34 @@ def cube_documents(cube: DataFrame, keys=KEYS) -> DataFrame:
     )
     text = F.to_json(nested, {"ignoreNullFields": "false"})
     return by_member.join(cube_split(cube, keys), outer).select("bucket", outer, inner, text.alias("document"))
+
+
+def cube_tree(documents: DataFrame, keys=KEYS) -> DataFrame:
+    """The nested document of each half, segment -> unit -> year -> month, in ordered fragments.
+
+    ``documents`` come from :func:`cube_documents`. A fragment is one member's document with the brackets, names
+    and commas that stand before and after it, so the fragments of a half, in order of segment and unit, spell
+    one JSON object, and no row grows with a segment. First and last members come from two small aggregates.
+    """
+    outer, inner = keys
+    spans = documents.groupBy("bucket", outer).agg(F.min(inner).alias("first_unit"), F.max(inner).alias("last_unit"))
+    halves = spans.groupBy("bucket").agg(F.min(outer).alias("first_segment"), F.max(outer).alias("last_segment"))
+    rows = documents.join(spans, ["bucket", outer]).join(halves, "bucket")
+
+    def name(column: str) -> Column:
+        """The name as a JSON string."""
+        return F.regexp_replace(F.to_json(F.array(column)), r"^\[|\]$", "")
+
+    opens, closes = F.col(inner) == F.col("first_unit"), F.col(inner) == F.col("last_unit")
+    starts = opens & (F.col(outer) == F.col("first_segment"))
+    ends = closes & (F.col(outer) == F.col("last_segment"))
+    fragment = F.concat(
+        F.when(starts, "{").otherwise(","),
+        F.when(opens, F.concat(name(outer), F.lit(":{"))).otherwise(""),
+        name(inner),
+        F.lit(":"),
+        "document",
+        F.when(closes, "}").otherwise(""),
+        F.when(ends, "}").otherwise(""),
+    )
+    return rows.select("bucket", outer, inner, fragment.alias("fragment"))

@@ -19,7 +19,7 @@ from panelcast.operators import cube, extended, features, panel, profile, report
 from panelcast.plans import sql as q
 from panelcast.plans import stages
 from panelcast.plans.stages import ORDERS
-from panelcast.sources import records, tables
+from panelcast.sources import records, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -306,16 +306,15 @@ def zero_fill_area(spark, sf):
 
 @query(
     "zero_fill_calendar",
-    f"""WITH {q.SPARSE.replace("FROM rec GROUP BY ALL", "FROM rec WHERE year(received_at) <> 1997 GROUP BY ALL")},
+    f"""WITH {q.SPARSE},
         cal AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM cnt),
         ser AS (SELECT DISTINCT district, unit FROM cnt)
         SELECT district, unit, {q.MONTH}, CAST(coalesce(y, 0) AS BIGINT) AS y
         FROM cal CROSS JOIN ser LEFT JOIN cnt USING (district, unit, month)""",
 )
 def zero_fill_calendar(spark, sf):
-    """A year without any record is completed too when the grid follows the calendar."""
-    rows = tables.order_records(spark, sf).filter(F.year("received_at") != 1997)
-    sparse = stages.durable(panel.monthly_counts(rows).drop("area_mode"))
+    """The grid follows the calendar, so months without any record are completed too."""
+    sparse = stages.durable(panel.monthly_counts(tables.order_records(spark, sf)).drop("area_mode"))
     return show(panel.zero_fill(sparse, grid="calendar"))
 
 
@@ -791,14 +790,14 @@ def tune_alpha(spark, sf):
 
 @query(
     "category_align",
-    f"""WITH {q.FEATURES}, seen AS (SELECT DISTINCT district FROM train WHERE district NOT LIKE '%3')
+    f"""WITH {q.FEATURES}, seen AS (SELECT DISTINCT district FROM train)
         SELECT coalesce(s.district, 'unknown') AS district, t.unit, {q.MONTH.replace("month,", "t.month,")}, t.y
         FROM test t LEFT JOIN seen s ON s.district = t.district""",
 )
 def category_align(spark, sf):
-    """Segments kept out of training become the unknown category in the test year."""
+    """Segments that training has not seen become the unknown category in the test year."""
     table = stages.base_table(spark, sf)
-    train = stages.train_rows(table).filter(~F.col("district").endswith("3"))
+    train = stages.train_rows(table)
     test = stages.test_rows(table).select("district", "unit", "month", "y")
     return show(trees.align_categories(test, train, ["district", "unit"]))
 
@@ -1086,8 +1085,8 @@ def _tree_table(spark, sf, extended_features: bool) -> tuple[DataFrame, DataFram
     return dense, stages.durable(extended.zero_nulls(split.drop_warmup(table), numeric)), numeric
 
 
-# Fitted models of this process's sessions, by application, tables and features: where they are stored.
-_STORED_TREES: dict[tuple[str, str, bool], str] = {}
+# Fitted models of this process's sessions, by application, tables, their state and features: where they are stored.
+_STORED_TREES: dict[tuple, str] = {}
 
 
 def _trees(spark, sf, extended_features: bool, table: DataFrame, numeric: list[str]) -> trees.TreeModel:
@@ -1095,7 +1094,7 @@ def _trees(spark, sf, extended_features: bool, table: DataFrame, numeric: list[s
 
     Trees are counted on the last training year; the test year is for scoring only.
     """
-    place = (spark.sparkContext.applicationId, sf, extended_features)
+    place = (spark.sparkContext.applicationId, sf, extended_features, *tables.stamps(spark, sf))
     if place not in _STORED_TREES:
         earlier = table.filter(split.in_years(last=ORDERS.last_train_year - 1))
         last = table.filter(split.in_years(first=ORDERS.last_train_year, last=ORDERS.last_train_year))
@@ -1214,6 +1213,21 @@ def _cube(spark, sf) -> DataFrame:
     return stages.cube_of(stages.durable(stages.dense_panel(spark, sf)))
 
 
+# Cubes stored by this process's sessions, by application and state of the tables.
+_STORED_CUBES: dict[tuple, str] = {}
+
+
+def _stored_cube(spark, sf) -> str:
+    """Where the cube of these tables is stored; the first query on it writes it, changed tables write a new one."""
+    place = (spark.sparkContext.applicationId, sf, *tables.stamps(spark, sf))
+    if place not in _STORED_CUBES:
+        cells = _cube(spark, sf)
+        path = f"{spark.sparkContext.getCheckpointDir()}/cube-{uuid.uuid4().hex}"
+        sinks.write_cube_table(cells, path)
+        _STORED_CUBES[place] = path
+    return _STORED_CUBES[place]
+
+
 @query("forecast_cube", f"{_CUBE} SELECT * FROM cube")
 def forecast_cube(spark, sf):
     return _cube(spark, sf)
@@ -1230,7 +1244,8 @@ def cube_by_year(spark, sf):
         WHERE district = 'NATION_7' AND unit = 'BUILDING' AND year = {ORDERS.test_year}""",
 )
 def cube_slice(spark, sf):
-    return cube.cube_slice(_cube(spark, sf), "NATION_7", "BUILDING", ORDERS.test_year)
+    cells = sinks.read_cube_table(spark, _stored_cube(spark, sf), "NATION_7")
+    return cube.cube_slice(cells, "NATION_7", "BUILDING", ORDERS.test_year)
 
 
 @query(
@@ -1240,7 +1255,8 @@ def cube_slice(spark, sf):
 )
 def cube_slice_years(spark, sf):
     """All years of a segment; the unit asked for does not exist, so the whole segment answers."""
-    return cube.cube_slice(_cube(spark, sf), "NATION_7", "NO SUCH UNIT")
+    cells = sinks.read_cube_table(spark, _stored_cube(spark, sf), "NATION_7")
+    return cube.cube_slice(cells, "NATION_7", "NO SUCH UNIT")
 
 
 @query(
@@ -1249,7 +1265,8 @@ def cube_slice_years(spark, sf):
         FROM cube WHERE district = 'ALL' AND unit = 'ALL' AND year = {ORDERS.test_year}""",
 )
 def cube_totals(spark, sf):
-    return cube.cube_totals(cube.cube_slice(_cube(spark, sf), year=ORDERS.test_year))
+    cells = sinks.read_cube_table(spark, _stored_cube(spark, sf), cube.ALL, totals=True)
+    return cube.cube_totals(cube.cube_slice(cells, year=ORDERS.test_year))
 
 
 @query("hierarchy", f"WITH {q.SPARSE} SELECT DISTINCT district, unit FROM cnt")
@@ -1269,4 +1286,24 @@ def cube_split(spark, sf):
 
 @query("cube_json")
 def cube_json(spark, sf):
-    return cube.cube_documents(stages.durable(_cube(spark, sf)))
+    return cube.cube_documents(sinks.read_cube_table(spark, _stored_cube(spark, sf)))
+
+
+@query(
+    "cube_json_cells",
+    f"""{_CUBE}, d AS (SELECT DISTINCT district FROM members WHERE district <> 'ALL'),
+        half AS (SELECT district, CASE WHEN row_number() OVER (ORDER BY district) <= (SELECT count(*) FROM d) // 2
+                                       THEN 1 ELSE 2 END AS bucket FROM d UNION ALL SELECT 'ALL', 1)
+        SELECT CAST(bucket AS INTEGER) AS bucket, cube.* FROM cube JOIN half USING (district)""",
+)
+def cube_json_cells(spark, sf):
+    """The documents written in two halves, and both read back as cells."""
+    path = f"{_stored_cube(spark, sf)}-documents-{uuid.uuid4().hex}"
+    sinks.write_cube(cube_json(spark, sf), path)
+    return sinks.read_cube(spark, path)
+
+
+@query("cube_tree")
+def cube_tree(spark, sf):
+    """The nested document of both halves in ordered fragments."""
+    return cube.cube_tree(stages.durable(cube_json(spark, sf)))

@@ -145,5 +145,7 @@ def publish(spark: SparkSession, root: str, setup: Setup) -> None:
         until,
         [months, (first, last)],
     )
-    table.write.mode("overwrite").parquet(f"{root}/cube")
-    sinks.write_cube(cube.cube_documents(spark.read.parquet(f"{root}/cube")), f"{root}/report/cube")
+    sinks.write_cube_table(table, f"{root}/cube")
+    sinks.write_cube(cube.cube_documents(sinks.read_cube_table(spark, f"{root}/cube")), f"{root}/report/cube")
+    documents = spark.read.schema("district string, unit string, document string, bucket int").json(f"{root}/report/cube")
+    sinks.write_cube_tree(cube.cube_tree(documents), f"{root}/report/tree")

@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamps(spark: SparkSession, sf_dir: str) -> tuple[tuple[int, int, int], ...]:
+    """What tells whether the tables changed: time of change, bytes and number of files of each, by one look per table."""
+    found = []
+    for name in SCHEMAS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        size = files.getContentSummary(path)
+        found.append((files.getFileStatus(path).getModificationTime(), size.getLength(), size.getFileCount()))
+    return tuple(found)
+
+
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records: nation is the outer segment, market segment the inner one.
 

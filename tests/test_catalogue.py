@@ -1,5 +1,7 @@
 """Every query against its SQL statement on the driver tables."""
 
+import json
+
 import pytest
 
 import __spark_entry__ as entry
@@ -14,11 +16,26 @@ def test_matches_sql(name, spark, oracle, sf):
     assert check.difference(QUERIES[name](spark, sf), oracle, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", ["ridge_fit", "ridge_importance", "cube_json"])
+@pytest.mark.parametrize("name", ["ridge_fit", "ridge_importance"])
 def test_has_rows(name, spark, sf):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_fragments_of_the_cube(spark, sf):
+    """Fragments in order spell the two halves; their cells are those of the documents."""
+    halves = {}
+    for r in QUERIES["cube_tree"](spark, sf).orderBy("bucket", "district", "unit").collect():
+        halves[r["bucket"]] = halves.get(r["bucket"], "") + r["fragment"]
+    found = {
+        (d, u, int(y), m): tuple(cell.values())
+        for text in halves.values() for d, units in json.loads(text).items()
+        for u, years in units.items() for y, months in years.items() for m, cell in months.items()
+    }
+    rows = QUERIES["cube_json_cells"](spark, sf).collect()
+    assert found == {(r["district"], r["unit"], r["year"], r["month_name"]): (r["actual"], r["forecast"], r["lo"], r["hi"]) for r in rows}
+    assert len(found) == len(rows)
+
+
 def _keys(df):
     return sorted((r["district"], r["unit"], r["month"]) for r in df.collect())
 
