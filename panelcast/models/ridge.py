@@ -95,19 +95,66 @@ def feature_stats(df: DataFrame, features: list[str] | None = None) -> DataFrame
     return unfold(wide, rows)
 
 
-def _partial_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of outer products of one partition's rows, flattened into one row."""
-    gram = None
+# Number, means, what rounding cut off the means, centred products.
+Moments = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+_MOMENTS = "n long, mean array<double>, rest array<double>, scatter array<double>"
+
+# Tasks that merge the moments of all others before one merges theirs.
+MERGERS = 32
+
+
+def _merged(a: Moments | None, b: Moments) -> Moments:
+    """Moments of two sets of rows taken together."""
+    if a is None:
+        return b
+    n, apart = a[0] + b[0], (b[1] - a[1]) + (b[2] - a[2])
+    share = b[0] / n
+    step = a[2] + apart * share
+    mean = a[1] + step
+    return n, mean, step - (mean - a[1]), a[3] + b[3] + np.outer(apart, apart) * (a[0] * share)
+
+
+def _moments_row(found: Moments | None) -> Iterator[pa.RecordBatch]:
+    if found is not None:
+        n, mean, rest, scatter = found
+        arrays = {"mean": [mean.tolist()], "rest": [rest.tolist()], "scatter": [scatter.ravel().tolist()]}
+        yield pa.RecordBatch.from_pydict({"n": [n], **arrays})
+
+
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number, means and centred products of one partition's rows as one row."""
+    found = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            mean = rows.mean(axis=0)
+            rows = rows - mean
+            rest = rows.mean(axis=0)
+            found = _merged(found, (len(rows), mean, rest, rows.T @ rows - len(rows) * np.outer(rest, rest)))
+    yield from _moments_row(found)
+
+
+def _merge_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition, one after another, merged into one."""
+    found = None
     for batch in batches:
-        rows = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
-        gram = rows.T @ rows if gram is None else gram + rows.T @ rows
-    if gram is not None:
-        yield pa.RecordBatch.from_pydict({"sums": [gram.ravel().tolist()]})
+        for row in batch.to_pylist():
+            mean, rest, scatter = (np.array(row[name]) for name in ("mean", "rest", "scatter"))
+            found = _merged(found, (row["n"], mean, rest, scatter.reshape(len(mean), len(mean))))
+    yield from _moments_row(found)
 
 
-def _scales(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
-    """Mean and deviation per feature on the driver (as many rows as features)."""
-    return {r["feature"]: (r["mean"], r["std"]) for r in feature_stats(df, features).collect()}
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (n, mean, rest, scatter): means, and sums of products of deviations from them, in one pass over ``df``.
+
+    Batches and tasks are merged pairwise, each around its own means, which carry along what rounding cuts
+    off (``rest``), so columns far from zero lose no digits.
+    Any number of tasks hands over one row each; these are merged by ``MERGERS`` tasks and theirs by one.
+    No rows give no row; a null makes the entries of its column NaN.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    few = rows.mapInArrow(_partial_moments, _MOMENTS).repartition(MERGERS).mapInArrow(_merge_moments, _MOMENTS)
+    return few.repartition(1).mapInArrow(_merge_moments, _MOMENTS)
 
 
 def gram_matrix(
@@ -118,27 +165,33 @@ def gram_matrix(
 ) -> DataFrame:
     """Normal equations of the standardised design with bias, as (row, col, value).
 
-    Entries are the upper triangle of X'X, and X'y under ``col = target``. Means
-    and deviations come first, so that the products are sums of small numbers.
-    Tasks multiply their rows as Arrow batches and hand over one row each; Spark
-    adds these per entry. As SQL sums (one per entry, some 170) the same takes
-    three times as long.
+    Entries are the upper triangle of X'X, and X'y under ``col = target``. They follow from the moments of
+    bias, features and target, so ``df`` is read once, whether ``scales`` (mean and deviation by feature) are given or its own.
     """
     features = features or BASE_FEATURES
     names = [BIAS, *features, target]
-    scales = scales or _scales(df, features)
-    scaled = [
-        ((F.col(c).cast("double") - F.lit(scales[c][0])) / F.lit(scales[c][1] + SCALE_GUARD)).alias(c) for c in features
-    ]
-    design = df.select(F.lit(1.0).alias(BIAS), *scaled, F.col(target).cast("double").alias(target))
-    partial = design.mapInArrow(_partial_gram, "sums array<double>")
-    summed = partial.select(F.posexplode("sums").alias("place", "value")).groupBy("place").agg(F.sum("value").alias("value"))
-    label = F.array(*[F.lit(name) for name in names])
-    row, col = F.floor(F.col("place") / len(names)).cast("int"), F.col("place") % len(names)
-    upper = (row <= col) & (row < len(names) - 1)
-    return summed.filter(upper).select(
-        F.get(label, row).alias("row"), F.get(label, col).alias("col"), "value"
+    size = len(names)
+    table = moments(df.withColumn(BIAS, F.lit(1.0)), names)
+
+    def own_deviation(k: int) -> Column:
+        return F.sqrt(F.get("scatter", F.lit(k * size + k)) / F.col("n")) + F.lit(SCALE_GUARD)
+
+    inside = range(1, size - 1)
+    if scales is None:
+        centres, deviations = [F.get("mean", F.lit(k)) for k in inside], [own_deviation(k) for k in inside]
+    else:
+        centres, deviations = [F.lit(scales[c][0]) for c in features], [F.lit(scales[c][1] + SCALE_GUARD) for c in features]
+    one = table.withColumns(
+        {"centre": F.array(F.lit(0.0), *centres, F.lit(0.0)), "deviation": F.array(F.lit(1.0), *deviations, F.lit(1.0))}
     )
+    cells = one.select("n", "mean", "centre", "deviation", F.posexplode("scatter").alias("place", "product"))
+    label = F.array(*[F.lit(name) for name in names])
+    row, col = F.floor(F.col("place") / size).cast("int"), F.col("place") % size
+    offsets = [F.get("mean", at) - F.get("centre", at) for at in (row, col)]
+    value = F.col("product") + F.col("n") * offsets[0] * offsets[1]
+    value = value / (F.get("deviation", row) * F.get("deviation", col))
+    upper = (row <= col) & (row < size - 1)
+    return cells.filter(upper).select(F.get(label, row).alias("row"), F.get(label, col).alias("col"), value.alias("value"))
 
 
 def fit_ridge(
@@ -146,21 +199,23 @@ def fit_ridge(
 ) -> RidgeModel:
     """Solve (X'X + penalty I) beta = X'y, the bias not penalised.
 
-    The driver receives the normal equations only, a system as large as the
-    feature list. ``train`` is read twice; make it ``durable`` when it is costly.
+    The driver receives one row of moments only, a system as large as the feature list; ``train`` is read once.
     """
     features = features or BASE_FEATURES
-    names = [BIAS, *features]
-    scales = _scales(train, features)
-    entries = {(r["row"], r["col"]): r["value"] for r in gram_matrix(train, features, target, scales).collect()}
-    gram = np.array([[entries[(a, b) if i <= j else (b, a)] for j, b in enumerate(names)] for i, a in enumerate(names)])
-    ridge = penalty * np.eye(len(names))
-    ridge[0, 0] = 0.0
-    beta = np.linalg.solve(gram + ridge, np.array([entries[(a, target)] for a in names]))
+    found = moments(train, [*features, target]).first()
+    if found is None:
+        raise ValueError("there are no rows to fit the model on")
+    n, mean, size = found["n"], np.array(found["mean"]), len(features)
+    scatter = np.array(found["scatter"]).reshape(size + 1, size + 1)
+    stds = np.sqrt(np.diag(scatter)[:size] / n)
+    scale = stds + SCALE_GUARD
+    # Standardised features add up to zero, so the bias is an equation of its own.
+    gram = scatter[:size, :size] / np.outer(scale, scale) + penalty * np.eye(size)
+    weights = np.linalg.solve(gram, scatter[:size, size] / scale)
     return RidgeModel(
-        means=tuple(scales[c][0] for c in features),
-        stds=tuple(scales[c][1] for c in features),
-        beta=tuple(float(b) for b in beta),
+        means=tuple(float(m) for m in mean[:size]),
+        stds=tuple(float(d) for d in stds),
+        beta=(float(mean[size]), *(float(w) for w in weights)),
         features=tuple(features),
     )
 

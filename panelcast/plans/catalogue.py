@@ -197,6 +197,24 @@ def profile_columns(spark, sf):
     return profile.column_overview(tables.table(spark, sf, "orders"))
 
 
+_CLOSE = 0.05
+
+
+@query(
+    "profile_sketches",
+    f"""SELECT position, "column", type, nulls, nulls_pct, TRUE AS close
+        FROM ({_overview_sql("orders", _ORDER_COLUMNS)})""",
+)
+def profile_sketches(spark, sf):
+    """Distinct values of all columns from sketches per year, united; held against the exact numbers within 5 % (three errors)."""
+    orders = tables.table(spark, sf, "orders")
+    sketches = profile.column_sketches(orders.withColumn("year", F.year("o_orderdate")), ["year"])
+    found = profile.sketched_overview(stages.durable(sketches))
+    exact = profile.column_overview(orders).select("column", F.col("distinct_values").alias("exact"))
+    close = F.abs(F.col("distinct_values") - F.col("exact")) <= _CLOSE * F.col("exact")
+    return found.join(exact, "column").select("position", "column", "type", "nulls", "nulls_pct", close.alias("close"))
+
+
 @query(
     "eda_summary",
     f"""WITH {q.RECORDS} SELECT count(*) AS records, CAST(min(received_at) AS VARCHAR) AS first_date,
@@ -738,7 +756,7 @@ def gram_matrix(spark, sf):
 
 
 def _fitted(spark, sf):
-    return ridge.fit_ridge(stages.durable(stages.train_rows(stages.base_table(spark, sf))))
+    return ridge.fit_ridge(stages.train_rows(stages.base_table(spark, sf)))
 
 
 @query("ridge_fit")

@@ -224,3 +224,36 @@ def test_tree_recursion(spark, table, wide):
 def test_naive_forecast_is_lag_twelve(table):
     rows = table.select(naive.naive_forecast().alias("p"), "lag_12").collect()
     assert all(r["p"] == r["lag_12"] for r in rows)
+
+
+def test_moments_of_ill_scaled_columns(spark):
+    """One pass equals two passes where means are far above deviations, whatever the partitions."""
+    rng = np.random.default_rng(5)
+    data = np.column_stack([rng.normal(1e7, 1e-1, 3000), rng.normal(-3e4, 2.0, 3000), rng.normal(0, 1e5, 3000), np.full(3000, 7.0)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double, y double")
+    centred = data - data.mean(axis=0)
+    for parts in (1, 7, 70):
+        row = ridge.moments(df.repartition(parts), ["a", "b", "c", "y"]).first()
+        assert row["n"] == 3000 and np.allclose(row["mean"], data.mean(axis=0), rtol=1e-14)
+        found = np.array(row["scatter"]).reshape(4, 4)
+        scale = np.sqrt(np.outer(np.diag(centred.T @ centred) + 1, np.diag(centred.T @ centred) + 1))
+        assert np.abs((found - centred.T @ centred) / scale).max() < 1e-9
+
+
+def test_normal_equations_with_given_scales(spark):
+    data = np.random.default_rng(6).normal(5, 2, (200, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, y double").repartition(3)
+    scales = {"a": (1.0, 2.0), "b": (-3.0, 0.5)}
+    design = np.column_stack([np.ones(200), (data[:, 0] - 1) / (2 + 1e-8), (data[:, 1] + 3) / (0.5 + 1e-8), data[:, 2]])
+    names = ["bias", "a", "b", "y"]
+    found = {(r["row"], r["col"]): r["value"] for r in ridge.gram_matrix(df, ["a", "b"], "y", scales).collect()}
+    whole = design.T @ design
+    assert len(found) == 9
+    assert all(abs(v - whole[names.index(a), names.index(b)]) < 1e-8 * abs(v) for (a, b), v in found.items())
+
+
+def test_no_rows_have_no_moments(spark):
+    df = spark.createDataFrame([], "a double, y double")
+    assert ridge.moments(df, ["a", "y"]).collect() == ridge.gram_matrix(df, ["a"], "y").collect() == []
+    with pytest.raises(ValueError):
+        ridge.fit_ridge(df, ["a"], "y")

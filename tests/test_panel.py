@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import column, month, panel, series
-from panelcast.operators import features, panel as ops, split
+from panelcast.operators import features, panel as ops, profile, split
 from panelcast.sources import records
 
 RECORDS = "case_id string, received_at date, district string, unit string, area string"
@@ -80,3 +80,20 @@ def test_dedup_by_explicit_order(spark):
 
 def test_tail(spark):
     assert column(ops.tail(panel(spark, series(list(range(30)))), 24), "y") == list(range(6, 30))
+
+
+def test_sketches_of_columns(spark):
+    """Sketches of groups, united, estimate what one sketch of all does; few values are counted exactly, nulls are none."""
+    df = spark.range(50_000).select(
+        (F.col("id") % 7).alias("part"), "id", (F.col("id") % 1000).cast("double").alias("few"),
+        F.lit(None).cast("date").alias("none"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("text"),
+    )
+    by_part = profile.column_sketches(df, ["part"])
+    assert by_part.count() == 7 * 4 and by_part.agg(F.max(F.length("sketch"))).first()[0] < 5000
+    rows = {r["column"]: r for r in profile.sketched_overview(by_part).collect()}
+    assert rows == {r["column"]: r for r in profile.sketched_overview(profile.column_sketches(df.drop("part"))).collect()}
+    assert abs(rows["id"]["distinct_values"] - 50_000) < 0.05 * 50_000 and abs(rows["few"]["distinct_values"] - 1000) < 50
+    assert (rows["none"]["distinct_values"], rows["none"]["nulls_pct"]) == (0, 100.0)
+    assert (rows["text"]["distinct_values"], rows["text"]["nulls"], rows["few"]["type"]) == (1, 16_667, "double")
+    assert profile.sketched_overview(by_part, ["part"]).count() == 28
+    assert all(r["distinct_values"] == 0 for r in profile.sketched_overview(profile.column_sketches(df.limit(0))).collect())
