@@ -76,6 +76,29 @@ def salted_left_join(
     return salted_left.join(salted_right, [*on, "_salt"], "left").drop("_salt")
 
 
+def past_modes(
+    monthly: DataFrame,
+    months: Column,
+    keys: tuple[str, ...] = KEYS,
+    time: str = TIME,
+    into: str = "_area_past",
+) -> DataFrame:
+    """The mode of the area over an inner segment's cells of earlier months, for every month it is asked for.
+
+    One row per (inner, month) that has an earlier cell with an area; ties go to the smaller name. Cells are counted per
+    (inner, area, month) first, so a segment with any number of series is as many rows as it has areas and months.
+    """
+    inner = keys[-1]
+    known = monthly.filter(F.col(AREA).isNotNull())
+    counted = known.groupBy(inner, AREA, time).agg(F.count(F.lit(1)).alias("_n"))
+    cells = counted.groupBy(inner, AREA).agg(F.map_from_entries(F.collect_list(F.struct(time, "_n"))).alias("_cells"))
+    dense = cells.select(inner, AREA, "_cells", F.explode(months).alias(time))
+    earlier = Window.partitionBy(inner, AREA).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum(F.coalesce(F.try_element_at("_cells", F.col(time)), F.lit(0))).over(earlier)
+    running = dense.select(inner, AREA, time, before.alias("_before")).filter(F.col("_before") > 0)
+    return running.groupBy(inner, time).agg(F.min_by(AREA, F.struct(-F.col("_before"), F.col(AREA))).alias(into))
+
+
 def zero_fill(
     monthly: DataFrame,
     keys: tuple[str, ...] = KEYS,
@@ -84,6 +107,7 @@ def zero_fill(
     grid: str = "observed",
     fill_area: bool = True,
     default_area: str = "Cível",
+    area: str = "same",
 ) -> DataFrame:
     """Every series gets every month; absent cells count zero.
 
@@ -94,8 +118,12 @@ def zero_fill(
     also the months nobody reported.
 
     Absent cells take the mode of the area over the *inner* segment, not the
-    series (``fill_area``).
+    series (``fill_area``). That mode is over the whole history, and other cells have the area of their own
+    month. With ``area='past'`` every cell takes the mode over the inner segment's earlier months instead
+    (:func:`past_modes`), ``default_area`` where there are none, so nothing of its own or a later month is used.
     """
+    if area not in ("same", "past"):
+        raise ValueError(f"area is 'same' or 'past', not {area!r}")
     months = observed_months(monthly, time) if grid == "observed" else calendar_months(monthly, time)
     has_area = AREA in monthly.columns
     cell = F.struct(F.col(target), F.col(AREA) if has_area else F.lit(None).cast("string").alias(AREA))
@@ -104,7 +132,7 @@ def zero_fill(
     )
     inner = keys[-1]
     fill_with = F.lit(None).cast("string")
-    if has_area and fill_area:
+    if has_area and fill_area and area == "same":
         modes = group_mode(monthly, [inner], AREA, default_area, "_area_fill")
         series = salted_left_join(series, modes, [inner], keys[0])
         fill_with = F.col("_area_fill")
@@ -115,8 +143,13 @@ def zero_fill(
         F.col(time),
         F.coalesce(found[target], F.lit(0)).cast("long").alias(target),
     ]
-    if has_area:
-        columns.append(F.coalesce(found[AREA], F.col("_area_fill")).alias(AREA))
+    if not has_area:
+        return dense.select(*columns)
+    if area == "past":
+        modes = past_modes(monthly, months, keys, time)
+        filled = salted_left_join(dense.select(*columns), modes, [inner, time], keys[0])
+        return filled.select(*keys, time, target, F.coalesce("_area_past", F.lit(default_area)).alias(AREA))
+    columns.append(F.coalesce(found[AREA], F.col("_area_fill")).alias(AREA))
     return dense.select(*columns)
 
 

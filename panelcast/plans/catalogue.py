@@ -322,6 +322,19 @@ def zero_fill_area(spark, sf):
     return show(stages.dense_panel(spark, sf))
 
 
+@query(
+    "zero_fill_area_past",
+    f"""WITH {q.DENSE}, cells AS (SELECT unit, month, area_mode, count(*) AS n FROM cnt GROUP BY ALL),
+        past AS (SELECT m.month, c.unit, c.area_mode, sum(c.n) AS n FROM months m JOIN cells c ON c.month < m.month GROUP BY ALL),
+        best AS (SELECT unit, month, first(area_mode ORDER BY n DESC, area_mode) AS area FROM past GROUP BY unit, month)
+        SELECT d.district, d.unit, {q.MONTH.replace("month,", "d.month,")}, d.y, coalesce(b.area, 'Cível') AS area_mode
+        FROM dense d LEFT JOIN best b ON b.unit = d.unit AND b.month = d.month""",
+)
+def zero_fill_area_past(spark, sf):
+    """A cell's area is the mode over the unit's earlier months: nothing of its own month or a later one."""
+    return show(panel.zero_fill(stages.durable(stages.sparse_panel(spark, sf)), area="past"))
+
+
 @query(
     "zero_fill_calendar",
     f"""WITH {q.SPARSE},

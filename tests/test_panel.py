@@ -97,3 +97,25 @@ def test_sketches_of_columns(spark):
     assert (rows["text"]["distinct_values"], rows["text"]["nulls"], rows["few"]["type"]) == (1, 16_667, "double")
     assert profile.sketched_overview(by_part, ["part"]).count() == 28
     assert all(r["distinct_values"] == 0 for r in profile.sketched_overview(profile.column_sketches(df.limit(0))).collect())
+
+
+def test_area_of_earlier_months(spark):
+    """Own and later months are not used, ties go to the smaller name, a null area does not count, no past gives the default."""
+    rows = [
+        ("A", "u", month(0), 1, "x"), ("B", "u", month(0), 1, "w"), ("A", "u", month(1), 1, "x"),
+        ("B", "u", month(2), 1, "z"), ("C", "u", month(3), 1, "z"), ("A", "u", month(3), 1, "z"), ("C", "v", month(3), 1, None),
+    ]
+    sparse = panel(spark, rows)
+    dense = ops.zero_fill(sparse, area="past", default_area="none")
+    found = {(r["district"], r["unit"], r["month"]): r["area_mode"] for r in dense.collect()}
+    assert len(found) == 4 * 4
+    for district in "ABC":
+        assert [found[district, "u", month(i)] for i in range(4)] == ["none", "w", "x", "x"]
+    assert {found["C", "v", month(i)] for i in range(4)} == {"none"}
+    same = ops.zero_fill(sparse)
+    assert dense.drop("area_mode").exceptAll(same.drop("area_mode")).count() == 0 and same.count() == 16
+    later = panel(spark, [*rows, *[(d, "u", month(3), 1, "q") for d in "DEFGH"]])
+    again = ops.zero_fill(later, area="past", default_area="none").filter(F.col("district") == "A").collect()
+    assert {r["month"]: r["area_mode"] for r in again} == {month(i): found["A", "u", month(i)] for i in range(4)}
+    with pytest.raises(ValueError):
+        ops.zero_fill(sparse, area="future")
