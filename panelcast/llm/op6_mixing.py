@@ -112,16 +112,18 @@ def mix(
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     seats = apportion(goals, [MAX_REPEATS * n for n in sizes], round(sum(goals)))
     recipe = [
-        (name, n, goal, quota, min(SHARDS, max(1, -(-n // SHARD_WORDS))))
-        for (name, n), goal, quota in zip(totals, goals, seats)
+        (number, name, n, goal, quota, min(SHARDS, max(1, -(-n // SHARD_WORDS))))
+        for number, ((name, n), goal, quota) in enumerate(zip(totals, goals, seats))
     ]
     kind = docs.schema[source].dataType.simpleString()
-    columns = f"_name {kind}, source_size long, target double, _quota long, _shards long"
+    columns = f"_number long, _name {kind}, source_size long, target double, _quota long, _shards long"
     recipe = docs.sparkSession.createDataFrame(recipe, columns)
 
-    placed = rows.join(recipe, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
+    # The recipe comes from the driver, Spark does not know its size; without the hint documents are shuffled by source.
+    placed = rows.join(F.broadcast(recipe), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     placed = placed.withColumn("_shard", F.pmod(F.xxhash64("_hash"), F.col("_shards")))
-    group = ["_source", "_shard"]
+    # Numbers are never null, so window and join below deal rows by the same columns and documents are shuffled once.
+    group = ["_number", "_shard"]
 
     def share(source_rows: pd.DataFrame) -> pd.DataFrame:
         source_rows = source_rows.sort_values("_shard")
@@ -130,13 +132,11 @@ def mix(
         return source_rows.assign(_seats=apportion(words, caps, int(source_rows["_quota"].iloc[0])))
 
     shards = placed.groupBy(*group, "_quota").agg(F.sum("size").alias("words"))
-    shards = shards.groupBy("_source").applyInPandas(share, f"_source {kind}, _shard long, _quota long, words long, _seats long")
-    shards = shards.select(F.col("_source").alias("_s"), F.col("_shard").alias("_n"), "words", "_seats")
+    shards = shards.groupBy("_number").applyInPandas(share, "_number long, _shard long, _quota long, words long, _seats long")
 
     along = Window.partitionBy(*group).orderBy("_hash", "_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     begun = placed.withColumn("begin", F.coalesce(F.sum("size").over(along), F.lit(0)))
-    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_n"))
-    begun = begun.join(shards, same)
+    begun = begun.join(shards.drop("_quota"), group)
     blocks = F.greatest(F.ceil(F.col("words") / F.lit(block_words)).cast("long"), F.lit(1))
     begun = begun.withColumns(
         {
@@ -181,21 +181,32 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """The mix itself: every text as often as it is taken whole, and its blocks taken once more as a row.
 
     Returns the columns of ``docs``; ``chars``, where there is such a column, counts the characters of
-    the new text. Words of a partial text keep the white space between them; separate runs are
-    joined by a line end. Texts without words are in no mix.
+    a partial text. Its words keep the white space between them; separate runs are joined by a
+    line end. Texts without words are in no mix.
+
+    One pass makes both kinds of rows, so a text is shuffled once, to its shard.
     """
     columns = docs.columns
     rows = docs.select(F.struct("*").alias("_row"), key, text, source)
     mixed = mix(rows, ["_row"], source, text, key)
-    times = F.sequence(F.lit(1), F.col("full").cast("int"))
-    whole = mixed.where("full > 0 and size > 0").select("_row", F.explode(times)).select("_row.*")
-    partial = mixed.where("taken > full * size").select("_row", "size", "begin", "words", "extra", "turn")
     rest = F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in columns if c != text]).alias("_row")
-    partial = partial.select(rest, F.col(f"_row.`{text}`").alias("_text"), "size", "begin", "words", "extra", "turn")
+    partly = F.expr("taken > full * size").alias("partly")
+    mixed = mixed.where("taken > 0").select(
+        rest, F.col(f"_row.`{text}`").alias("_text"), "full", partly, "size", "begin", "words", "extra", "turn"
+    )
     word = re.compile(common.WORD)
 
+    def made(batch: pa.RecordBatch, texts: pa.Array, partial: bool) -> pa.RecordBatch:
+        flags = pa.array(np.full(batch.num_rows, partial))
+        return pa.RecordBatch.from_arrays([common.values(batch, "_row"), texts, flags], names=["_row", "_text", "_cut"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "_text"):
+            full = common.values(batch, "full")
+            for times in range(pa.compute.max(full).as_py()):
+                whole = batch.filter(pa.compute.greater(full, times))
+                yield made(whole, common.values(whole, "_text"), False)
+            batch = batch.filter(common.values(batch, "partly"))
             numbers = [common.values(batch, name).to_pylist() for name in ("begin", "size", "words", "extra", "turn")]
             texts = []
             for content, *place in zip(common.values(batch, "_text").to_pylist(), *numbers):
@@ -204,13 +215,15 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], take.astype(np.int8), [0]])))
                 runs = [content[spans[a][0] : spans[b - 1][1]] for a, b in zip(edges[::2], edges[1::2])]
                 texts.append("\n".join(runs))
-            yield pa.RecordBatch.from_arrays([common.values(batch, "_row"), pa.array(texts, pa.string())], names=["_row", "_text"])
-
-    shape = partial.schema["_row"].dataType.simpleString()
-    parts = partial.mapInArrow(cut, f"_row {shape}, _text string")
-    changed = {text: F.col("_text"), chars: F.char_length("_text").cast(docs.schema[chars].dataType) if chars in columns else None}
-    parts = parts.select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in columns])
-    return whole.unionByName(parts)
+            yield made(batch, pa.array(texts, common.values(batch, "_text").type), True)
+
+    shape = mixed.schema["_row"].dataType.simpleString()
+    output = mixed.mapInArrow(cut, f"_row {shape}, _text string, _cut boolean")
+    changed = {text: F.col("_text")}
+    if chars in columns:
+        counted = F.char_length("_text").cast(docs.schema[chars].dataType)
+        changed[chars] = F.when(F.col("_cut"), counted).otherwise(F.col(f"_row.`{chars}`"))
+    return output.select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
